@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+from ..schemas import CATEGORY_FEATURES, LABEL_COL, NUMERIC_FEATURES, PREDICTION_COLUMNS
+from ..sources import testdata as td
+from ..sources.spine import SF_LAT, SF_LNG, SUN_URL_TEMPLATE, WEATHER_URL_TEMPLATE
 from ..sources.testdata import TEST_POLYGONS
 
 INCIDENTS = r"""
@@ -48,7 +51,7 @@ days AS (
 
 SUN = DAYS + r""",
 sun AS (
-  SELECT strftime(d, '%Y-%m-%d') AS date,
+  SELECT d, strftime(d, '%Y-%m-%d') AS date,
          CASE WHEN day(d) % 10 = 0 THEN printf('12:%02d:00 PM', day(d))
               WHEN day(d) % 2 = 1 THEN printf('3:%02d:00 PM', day(d) + 10)
               ELSE printf('6:%02d:00 AM', day(d)) END AS sunrise,
@@ -150,6 +153,115 @@ def _cols(cols: list[str]) -> str:
     return ", ".join(f'"{c}"' for c in cols)
 
 
+SUN_BODIES = SUN + f""",
+bodies AS (
+  SELECT date, CASE
+    WHEN day(d) = {td.SUN_UNAVAILABLE_DAY} THEN 'Service unavailable'
+    WHEN day(d) % {td.SUN_PARTIAL_EVERY} = 0
+      THEN CAST(json_object('results', json_object('sunrise', sunrise), 'status', 'OK') AS VARCHAR)
+    ELSE CAST(json_object('results', json_object('sunrise', sunrise, 'sunset', sunset),
+                          'status', 'OK') AS VARCHAR) END AS body
+  FROM sun),
+sun_parsed AS (
+  SELECT date, body,
+         coalesce(CASE WHEN json_valid(body) THEN json_type(body, '$.results') END = 'OBJECT',
+                  false) AS ok
+  FROM bodies)"""
+
+_W_FIELDS = ("strftime(ts, '%H:%M'), {temp}, '7.0', '80', '1015.0', '10.0', 'West', '5.8', "
+             "'-', 'N/A', '', event_type, '270'")
+_W_TEMP = (f"CASE WHEN value < {td.WEATHER_NO_TEMP_BELOW} THEN '-' "
+           "ELSE printf('%.2f', value) END")
+_W_SHORT = ", ".join(_W_FIELDS.format(temp=_W_TEMP).split(", ")[:5])
+
+WEATHER_PARSED = f"""
+wresp AS (
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, event_id AS rid,
+         '{td.WEATHER_HEADER}' || chr(10) || '<br />' || chr(10) ||
+         CASE WHEN value > {td.WEATHER_SHORT_ABOVE} THEN concat_ws(',', {_W_SHORT})
+              ELSE concat_ws(',', {_W_FIELDS.format(temp=_W_TEMP)}) END || chr(10) AS body
+  FROM events),
+wsplit AS (SELECT date, rid, string_split(body, chr(10)) AS parts FROM wresp),
+wlines AS (
+  SELECT date, rid, len(parts) AS n, unnest(parts) AS line,
+         CAST(unnest(range(len(parts))) AS INTEGER) AS line_no
+  FROM wsplit),
+wkept AS (
+  SELECT *, string_split(regexp_replace(line, ',+$', ''), ',') AS fields FROM wlines
+  WHERE line_no >= 2 AND NOT (line_no = n - 1 AND line = '')),
+wchecked AS (
+  SELECT date, rid, line_no,
+         CASE WHEN len(fields) > 11 THEN TRY_CAST(fields[2] AS DOUBLE) END AS temp,
+         CASE WHEN len(fields) > 11 THEN fields[12] END AS weather,
+         CASE WHEN len(fields) <= 11 THEN 'too few fields'
+              WHEN TRY_CAST(fields[2] AS DOUBLE) IS NULL THEN 'temperature is not a number'
+         END AS reason
+  FROM wkept),
+wgood AS (SELECT * FROM wchecked WHERE reason IS NULL),
+wper AS (
+  SELECT date, weather, count(*) AS n, sum(temp) AS s, count(temp) AS c,
+         min(rid * 1000 + line_no) AS f
+  FROM wgood GROUP BY date, weather),
+wranked AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY n DESC, f) AS rn FROM wper),
+wdaily AS (
+  SELECT date, round(sum(s) / sum(c), 9) AS temperatureC,
+         max(CASE WHEN rn = 1 THEN weather END) AS weather
+  FROM wranked GROUP BY date)"""
+
+KEY_BUCKET = "((('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT) % 100)"
+IN_TRAIN = KEY_BUCKET.format(k="Id") + " < 70"
+INDEXED_COLS = CATEGORY_FEATURES + [LABEL_COL]
+
+
+def _levels(source: str) -> str:
+    parts = [f"SELECT '{c}' AS feature, CAST(\"{c}\" AS VARCHAR) AS value FROM {source}"
+             for c in INDEXED_COLS]
+    return " UNION ALL ".join(parts)
+
+
+FREQUENCY = f""",
+levels AS ({_levels("enriched")}),
+level_counts AS (SELECT feature, value, count(*) AS n FROM levels GROUP BY feature, value),
+freq AS (
+  SELECT feature, value,
+         CAST(row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) - 1 AS DOUBLE) AS idx
+  FROM level_counts)"""
+
+
+def _naive_bayes_ctes() -> str:
+    """Closed form of multinomial naive Bayes (smoothing 1) over indexed features.
+
+    pi_c = ln(n_c + 1) - ln(N + C);  theta_cj = ln(S_cj + 1) - ln(sum_j S_cj + D);
+    prediction = argmax_c pi_c + sum_j x_j theta_cj, ties to the smaller index.
+    """
+    feats = CATEGORY_FEATURES
+    joins = " ".join(
+        f"JOIN freq i{j} ON i{j}.feature = '{c}' AND i{j}.value = CAST(e.\"{c}\" AS VARCHAR)"
+        for j, c in enumerate(feats))
+    xs = ", ".join(f"i{j}.idx AS x{j}" for j in range(len(feats)))
+    sums = ", ".join(f"sum(x{j}) AS s{j}" for j in range(len(feats)))
+    total = " + ".join(f"s{j}" for j in range(len(feats)))
+    thetas = ", ".join(f"ln(s{j} + 1.0) - ln({total} + {float(len(feats))}) AS t{j}"
+                       for j in range(len(feats)))
+    dot = " + ".join(f"v.x{j} * p.t{j}" for j in range(len(feats)))
+    return f""",
+vec AS (
+  SELECT e.Id, {IN_TRAIN.replace("Id", "e.Id")} AS in_train, lab.idx AS y, {xs}
+  FROM enriched e {joins}
+  JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.value = e.{LABEL_COL}),
+cls AS (SELECT y, count(*) AS n, {sums} FROM vec WHERE in_train GROUP BY y),
+tot AS (SELECT sum(n) AS big_n, count(*) AS big_c FROM cls),
+params AS (
+  SELECT y, ln(n + 1.0) - ln(big_n + big_c * 1.0) AS pi, {thetas} FROM cls, tot),
+scores AS (
+  SELECT v.Id, v.y AS label, p.y AS cls, p.pi + ({dot}) AS score
+  FROM vec v, params p WHERE NOT v.in_train),
+best AS (
+  SELECT Id, label, cls AS prediction FROM (
+    SELECT *, row_number() OVER (PARTITION BY Id ORDER BY score DESC, cls) AS rk FROM scores)
+  WHERE rk = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["time_features"] = ("WITH " + INCIDENTS + "," + TIMED +
@@ -171,4 +283,36 @@ def oracle_sql() -> dict[str, str]:
                          " SELECT i.Id, i.X, i.Y, h.Neighborhood FROM incidents i"
                          " JOIN hood h ON i.Id = h.Id")
     q["enriched"] = "WITH " + ENRICHED + f" SELECT {_cols(ENRICHED_COLUMNS)} FROM enriched"
+    q["request_list"] = ("WITH " + DAYS + " SELECT strftime(d, '%Y-%m-%d') AS date, "
+                         f"printf('{SUN_URL_TEMPLATE}', CAST({SF_LAT} AS DOUBLE), "
+                         f"CAST({SF_LNG} AS DOUBLE), strftime(d, '%Y-%m-%d')) AS sun_url, "
+                         f"printf('{WEATHER_URL_TEMPLATE}', year(d), month(d), day(d)) AS weather_url"
+                         " FROM days")
+    q["sun_responses"] = ("WITH " + SUN_BODIES +
+                          " SELECT date, json_extract_string(body, '$.results.sunrise') AS sunrise,"
+                          " json_extract_string(body, '$.results.sunset') AS sunset"
+                          " FROM sun_parsed WHERE ok")
+    q["sun_rejected"] = ("WITH " + SUN_BODIES +
+                         " SELECT date, 'no results object' AS reason FROM sun_parsed WHERE NOT ok")
+    q["weather_readings"] = ("WITH " + WEATHER_PARSED +
+                             " SELECT date, rid, line_no, temp, weather FROM wgood")
+    q["weather_rejected"] = ("WITH " + WEATHER_PARSED +
+                             " SELECT date, rid, line_no, reason FROM wchecked WHERE reason IS NOT NULL")
+    q["weather_table"] = "WITH " + WEATHER_PARSED + " SELECT date, temperatureC, weather FROM wdaily"
+    q["key_split"] = "WITH " + INCIDENTS + f" SELECT Id, {IN_TRAIN} AS in_train FROM incidents"
+    combined = _cols(NUMERIC_FEATURES + CATEGORY_FEATURES)
+    q["combined_features"] = "WITH " + ENRICHED + f" SELECT {combined} FROM enriched"
+    q["combined_count"] = "WITH " + ENRICHED + " SELECT count(*) AS n FROM enriched"
+    q["frequency_index"] = "WITH " + ENRICHED + FREQUENCY + " SELECT feature, value, idx FROM freq"
+    q["csv_roundtrip"] = ("WITH " + INCIDENTS +
+                          " SELECT Id, Dates, Category, DayOfWeek, PdDistrict, Address, X, Y"
+                          " FROM incidents")
+    q["json_roundtrip"] = "WITH " + DAILY_WEATHER + " SELECT date, temperatureC, weather FROM daily"
+    nb = "WITH " + ENRICHED + FREQUENCY + _naive_bayes_ctes()
+    pred_cols = ", ".join(f'e."{c}"' for c in PREDICTION_COLUMNS if c != "PredictedCategory")
+    q["nb_predictions"] = (nb + f" SELECT e.Id, {pred_cols}, lab.value AS PredictedCategory"
+                           " FROM best b JOIN enriched e ON e.Id = b.Id"
+                           f" JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.idx = b.prediction")
+    q["nb_accuracy"] = (nb + " SELECT CAST(sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS DOUBLE)"
+                        " / count(*) AS accuracy FROM best")
     return q

@@ -6,14 +6,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import model as M
 from ..operators.features import address_features, day_night_feature, time_features, weekend_feature
 from ..operators.geo import with_neighborhood
 from ..operators.joins import with_weather
+from ..operators.split import key_bucket
 from ..operators.weather import daily_weather
+from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTION_COLUMNS, incident_schema
+from ..session import scratch_path
 from ..sources import testdata as td
+from ..sources.files import read_daily_weather, read_incidents
+from ..sources.responses import parse_sun_responses, parse_weather_responses
+from ..sources.sinks import write_daily_table, write_predictions
+from .classify import feature_columns, run_classifier, split
 from .enrich import enrich_incidents
 from .oracles import ENRICHED_COLUMNS
+from .tables import request_list, weather_table
 
 WEATHER_DECIMALS = 9
 
@@ -67,6 +77,104 @@ def q_enriched(spark: SparkSession, sf: str) -> DataFrame:
     return enriched(spark, sf).select(*ENRICHED_COLUMNS)
 
 
+def q_request_list(spark: SparkSession, sf: str) -> DataFrame:
+    return request_list(td.local_dates(spark, sf))
+
+
+def q_sun_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_sun_responses(td.sun_responses(spark, sf))[0]
+
+
+def q_sun_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_sun_responses(td.sun_responses(spark, sf))[1].select("date", "reason")
+
+
+def _weather_parsed(spark: SparkSession, sf: str):
+    return parse_weather_responses(td.weather_responses(spark, sf), order="rid")
+
+
+def q_weather_readings(spark: SparkSession, sf: str) -> DataFrame:
+    good, _ = _weather_parsed(spark, sf)
+    return good.select("date", F.col("seq.__order").alias("rid"), F.col("seq.line_no").alias("line_no"),
+                       "temp", "weather")
+
+
+def q_weather_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return _weather_parsed(spark, sf)[1].select("date", "rid", "line_no", "reason")
+
+
+def q_weather_table(spark: SparkSession, sf: str) -> DataFrame:
+    table, _ = weather_table(td.weather_responses(spark, sf), order="rid",
+                             round_to=WEATHER_DECIMALS)
+    return table.select("date", "temperatureC", "weather")
+
+
+def q_key_split(spark: SparkSession, sf: str) -> DataFrame:
+    return td.incidents(spark, sf).select("Id", (key_bucket("Id") < 70).alias("in_train"))
+
+
+def q_combined_features(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = split(enriched(spark, sf))
+    return feature_columns(train).unionByName(feature_columns(test))
+
+
+def q_combined_count(spark: SparkSession, sf: str) -> DataFrame:
+    return q_combined_features(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_frequency_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every (feature, level, index) the fitted indexers assign to the data."""
+    e = enriched(spark, sf)
+    train, test = split(e)
+    feat, lab = M.fit_indexers(train.unionByName(test))
+    t = lab.transform(feat.transform(e))
+    cols = CATEGORY_FEATURES + [LABEL_COL]
+    args = ", ".join(f"'{c}', CAST(`{c}` AS STRING), `{c}Indexed`" for c in cols)
+    return t.selectExpr(f"stack({len(cols)}, {args}) AS (feature, value, idx)").distinct()
+
+
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Incidents written as CSV with a header, then read back with the schema."""
+    path = scratch_path(spark, "incidents-csv")
+    inc = td.incidents(spark, sf).withColumns({"Descript": F.lit(None).cast("string"),
+                                                "Resolution": F.lit(None).cast("string")})
+    cols = [f.name for f in incident_schema(exclude=())]
+    write_predictions(inc, path, files=None, columns=cols)
+    return read_incidents(spark, path, schema=incident_schema(exclude=())) \
+        .select("Id", "Dates", "Category", "DayOfWeek", "PdDistrict", "Address", "X", "Y")
+
+
+def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily weather written as JSON lines, then read back."""
+    path = scratch_path(spark, "weather-json")
+    write_daily_table(_daily(spark, sf), path)
+    return read_daily_weather(spark, path, layout="lines")
+
+
+def _predictions(kind: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        run = run_classifier(enriched(spark, sf), kind, evaluate=False)
+        return run.predictions.select("Id", *PREDICTION_COLUMNS)
+    q.__name__ = f"q_{kind}_predictions"
+    return q
+
+
+def _accuracy(kind: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        run = run_classifier(enriched(spark, sf), kind, evaluate=False)
+        return M.accuracy_frame(run.predictions)
+    q.__name__ = f"q_{kind}_accuracy"
+    return q
+
+
+def _importance(kind: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        run = run_classifier(enriched(spark, sf), kind, evaluate=False)
+        return run.importances
+    q.__name__ = f"q_{kind}_importance"
+    return q
+
+
 def queries() -> dict[str, Query]:
     return {
         "time_features": q_time_features,
@@ -77,4 +185,23 @@ def queries() -> dict[str, Query]:
         "day_night": q_day_night,
         "neighborhood": q_neighborhood,
         "enriched": q_enriched,
+        "request_list": q_request_list,
+        "sun_responses": q_sun_responses,
+        "sun_rejected": q_sun_rejected,
+        "weather_readings": q_weather_readings,
+        "weather_rejected": q_weather_rejected,
+        "weather_table": q_weather_table,
+        "key_split": q_key_split,
+        "combined_features": q_combined_features,
+        "combined_count": q_combined_count,
+        "frequency_index": q_frequency_index,
+        "csv_roundtrip": q_csv_roundtrip,
+        "json_roundtrip": q_json_roundtrip,
+        "nb_predictions": _predictions("nb"),
+        "nb_accuracy": _accuracy("nb"),
+        "dt_predictions": _predictions("dt"),
+        "rf_predictions": _predictions("rf"),
+        "lr_predictions": _predictions("lr"),
+        "dt_importance": _importance("dt"),
+        "rf_importance": _importance("rf"),
     }

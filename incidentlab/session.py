@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,18 +61,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     # checkpoint dirs come back as URIs (file:/..., hdfs://...); keep the scheme
-    suffix = f"{name}-{os.getpid()}-{next(_counter)}"
-    return base.rstrip("/") + "/incidentlab-scratch/" + suffix
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return base.rstrip("/") + f"/incidentlab-scratch/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

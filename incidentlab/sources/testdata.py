@@ -94,3 +94,41 @@ def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygons(spark: SparkSession) -> DataFrame:
     """The three test polygons as ``(ord, name, polygon)``."""
     return spark.createDataFrame(TEST_POLYGONS, "ord long, name string, polygon string")
+
+
+# --- fixed values: landed response layouts used by the fixtures ---
+WEATHER_HEADER = ("TimePST,TemperatureC,DewPointC,Humidity,SeaLevelPressurehPa,VisibilityKm,"
+                  "WindDirection,WindSpeedKmh,GustSpeedKmh,Precipitationmm,Events,Conditions,"
+                  "WindDirDegrees")
+SUN_UNAVAILABLE_DAY = 15           # that day's body is not JSON
+SUN_PARTIAL_EVERY = 10             # days d % 10 == 0 have no sunset key
+WEATHER_NO_TEMP_BELOW = 1.0        # readings below it carry "-" as temperature
+WEATHER_SHORT_ABOVE = 480.0        # readings above it are cut to five fields
+
+
+def sun_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(date, body)``: one landed JSON response per local event date."""
+    sun = sun_times(spark, sf_dir)
+    d = F.dayofmonth(F.to_date("date"))
+    full = F.to_json(F.struct(F.struct("sunrise", "sunset").alias("results"),
+                              F.lit("OK").alias("status")))
+    partial = F.to_json(F.struct(F.struct("sunrise").alias("results"), F.lit("OK").alias("status")))
+    body = (F.when(d == SUN_UNAVAILABLE_DAY, F.lit("Service unavailable"))
+            .when(d % SUN_PARTIAL_EVERY == 0, partial).otherwise(full))
+    return sun.select("date", body.alias("body"))
+
+
+def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(date, rid, body)``: one landed text response per event, two header
+    lines then one comma-separated reading."""
+    ev = table(spark, sf_dir, "events")
+    v = F.col("value")
+    temp = F.when(v < WEATHER_NO_TEMP_BELOW, F.lit("-")).otherwise(F.format_string("%.2f", v))
+    fields = [F.date_format("ts", "HH:mm"), temp, F.lit("7.0"), F.lit("80"), F.lit("1015.0"),
+              F.lit("10.0"), F.lit("West"), F.lit("5.8"), F.lit("-"), F.lit("N/A"), F.lit(""),
+              F.col("event_type"), F.lit("270")]
+    line = F.when(v > WEATHER_SHORT_ABOVE, F.concat_ws(",", *fields[:5])) \
+        .otherwise(F.concat_ws(",", *fields))
+    body = F.concat(F.lit(WEATHER_HEADER + "\n<br />\n"), line, F.lit("\n"))
+    return ev.select(F.col("ts").cast("date").cast("string").alias("date"),
+                     F.col("event_id").alias("rid"), body.alias("body"))
