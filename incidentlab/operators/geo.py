@@ -33,18 +33,15 @@ def polygon_table(polygons: DataFrame, name: str = "name", wkt: str = "polygon",
     ``on_error="raise"`` fails on a polygon whose WKT gives no usable ring;
     ``"default"`` drops such polygons, so points fall to the default name.
     """
+    if on_error not in ("raise", "default"):
+        raise ValueError(f"on_error must be 'raise' or 'default', not {on_error!r}")
     poly = (polygons.select(F.col(order).alias("ord"), F.col(name).alias("name"),
                             wkt_edges(wkt).alias("edges"))
+            .withColumn("valid", F.coalesce(edges_valid("edges"), F.lit(False)))
             .withColumn("box", bounding_box("edges")))
-    valid = edges_valid("edges")
-    if on_error == "raise":
-        bad = poly.filter(~F.coalesce(valid, F.lit(False))).select("name").limit(1).collect()
-        if bad:
-            raise ValueError(f"polygon {bad[0][0]!r} has no valid ring")
-        return poly
     if on_error == "default":
-        return poly.filter(F.coalesce(valid, F.lit(False)))
-    raise ValueError(f"on_error must be 'raise' or 'default', not {on_error!r}")
+        poly = poly.filter("valid")
+    return poly
 
 
 def _cell_range(lo: str, hi: str, size: float):
@@ -55,7 +52,8 @@ def _cell_range(lo: str, hi: str, size: float):
 def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[float, bool]:
     """Smallest grid size ``cell_size * 2^k`` whose cell table is estimated under
-    ``max_bytes``; returns ``(size, fits)``.  One aggregate over the polygons."""
+    ``max_bytes``; returns ``(size, fits)``.  One aggregate over the polygons,
+    which also fails on an invalid polygon left in the table."""
     box = F.col("box")
     poly_bytes = F.size("edges") * _EDGE_BYTES + _CANDIDATE_BYTES
     sizes = [cell_size * (2 ** k) for k in range(_COARSEN_STEPS)]
@@ -64,7 +62,10 @@ def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                * (F.floor(box["max_y"] / s) - F.floor(box["min_y"] / s) + 1)).cast("double")
               * poly_bytes).alias(f"e{k}")
         for k, s in enumerate(sizes)]
-    row = poly.agg(*estimates).first()
+    bad = F.min(F.when(~F.col("valid"), F.col("name"))).alias("bad")
+    row = poly.agg(F.count(F.when(~F.col("valid"), 1)).alias("n_bad"), bad, *estimates).first()
+    if row["n_bad"]:
+        raise ValueError(f"polygon {row['bad']!r} has no valid ring")
     for k, s in enumerate(sizes):
         est = row[f"e{k}"]
         if est is None or est <= max_bytes:
@@ -77,6 +78,7 @@ def polygon_cells(poly: DataFrame, cell_size: float) -> DataFrame:
     sorted by ``ord``."""
     cells = (poly.select("*", F.explode(_cell_range("min_x", "max_x", cell_size)).alias("cx"))
              .select("*", F.explode(_cell_range("min_y", "max_y", cell_size)).alias("cy")))
+    # a cell's list is bounded by the polygon count, never by the incidents
     return cells.groupBy("cx", "cy").agg(
         F.array_sort(F.collect_list(F.struct("ord", "name", "box", "edges"))).alias("cands"))
 

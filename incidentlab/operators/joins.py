@@ -8,6 +8,7 @@ shuffle join, where AQE splits hot dates.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,22 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` as is."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      cache: bool = True) -> DataFrame:
+    """``broadcast(df)`` when its row count is proven small, else ``df`` as is.
+
+    With ``cache`` the rows read by the check are kept (memory, then disk) so
+    the join does not compute a derived table a second time; a table that
+    turns out large is released again.  Lost cached blocks are recomputed
+    from lineage.
+    """
+    if cache:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if row_count_at_most(df, max_rows):
+        return F.broadcast(df)
+    if cache:
+        df.unpersist()
+    return df
 
 
 def _date_keyed(table: DataFrame, key: str) -> DataFrame:

@@ -48,23 +48,33 @@ def split(enriched: DataFrame, key: str | None = "Id", train_pct: int = 70,
 
 
 def fit_models(train: DataFrame, test: DataFrame, kind: str, folds: int = 3, seed: int = 42,
-               parallelism: int = 1, handle_invalid: str = "error", **overrides):
-    """Indexers on train ∪ test, pipeline, cross-validated fit on train."""
+               parallelism: int = 1, handle_invalid: str = "error", grid: list[dict] | None = None,
+               cv_metrics: bool = False, **overrides):
+    """Indexers on train ∪ test, pipeline, cross-validated fit on train.
+
+    Cross validation only chooses among parameter maps; the chosen map is then
+    refitted on all of ``train``.  With a single map (the default grid) the
+    fold fits cannot change that model, so they run only when ``cv_metrics``
+    asks for the fold accuracies.
+    """
     feat_idx, label_idx = M.fit_indexers(combine(train, test), handle_invalid=handle_invalid)
     pipeline = M.build_pipeline(kind, feat_idx, label_idx, seed=seed, **overrides)
-    if folds and folds > 1:
-        return M.train(train, pipeline, folds=folds, seed=seed, parallelism=parallelism)
-    return pipeline.fit(train)
+    grid = grid or M.param_grid()
+    if folds and folds > 1 and (len(grid) > 1 or cv_metrics):
+        return M.train(train, pipeline, folds=folds, seed=seed, grid=grid,
+                       parallelism=parallelism)
+    return pipeline.copy(grid[0]).fit(train) if grid[0] else pipeline.fit(train)
 
 
 def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 42,
                    key: str | None = "Id", train_pct: int = 70, checkpoint: bool = True,
-                   evaluate: bool = True, parallelism: int = 1, **overrides) -> ClassifierRun:
+                   evaluate: bool = True, parallelism: int = 1, grid: list[dict] | None = None,
+                   cv_metrics: bool = False, **overrides) -> ClassifierRun:
     """The whole classifier job over enriched incidents."""
     data = materialize(enriched) if checkpoint else enriched
     train, test = split(data, key, train_pct, seed)
     model = fit_models(train, test, kind, folds=folds, seed=seed, parallelism=parallelism,
-                       **overrides)
+                       grid=grid, cv_metrics=cv_metrics, **overrides)
     scored = M.score(model, test)
     run = ClassifierRun(kind=kind, model=model, predictions=scored)
     if evaluate:
