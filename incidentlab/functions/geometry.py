@@ -4,6 +4,10 @@ A polygon (``POLYGON`` with holes, or ``MULTIPOLYGON``) is held as the list of
 its ring edges ``array<struct<x1,y1,x2,y2>>``.  Containment is the even-odd
 rule over all rings (holes and separate parts fall out of the parity), with
 points on any edge counted as outside, as a strict "contains" test does.
+
+Each builder returns one SQL expression (higher-order functions with lambda
+variables), so a column is parsed once, not rebuilt call by call.  Arguments
+are column names or SQL expressions.
 """
 
 from __future__ import annotations
@@ -15,83 +19,103 @@ from pyspark.sql import functions as F
 RING_PATTERN = r"\(([^()]+)\)"
 
 
-def _c(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def _ring_points(ring_text: Column) -> Column:
-    pairs = F.split(F.trim(ring_text), r"\s*,\s*")
-    return F.transform(pairs, lambda p: F.struct(
-        F.get(F.split(F.trim(p), r"\s+"), 0).try_cast("double").alias("x"),
-        F.get(F.split(F.trim(p), r"\s+"), 1).try_cast("double").alias("y")))
+def _sql_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _closed(ring: Column) -> Column:
-    first, last = F.get(ring, 0), F.get(ring, F.size(ring) - 1)
-    return F.when(first == last, ring).otherwise(F.concat(ring, F.array(first)))
+def _q(c: str) -> str:
+    """A bare column name is quoted; anything else is taken as SQL."""
+    return f"`{c}`" if c.replace("_", "").isalnum() else c
 
 
-def _ring_edges(ring: Column) -> Column:
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(ring, 1, n).alias("p"), F.slice(ring, 2, n).alias("q"))
-    return F.transform(pairs, lambda e: F.struct(
-        e["p"]["x"].alias("x1"), e["p"]["y"].alias("y1"),
-        e["q"]["x"].alias("x2"), e["q"]["y"].alias("y2")))
+def wkt_edges_sql(wkt: str) -> str:
+    pt = ("named_struct('x', try_cast(get(split(trim(p), {ws}), 0) AS DOUBLE), "
+          "'y', try_cast(get(split(trim(p), {ws}), 1) AS DOUBLE))").format(ws=_sql_literal(r"\s+"))
+    rings = (f"transform(regexp_extract_all({_q(wkt)}, {_sql_literal(RING_PATTERN)}, 1), "
+             f"r -> transform(split(trim(r), {_sql_literal(r'\s*,\s*')}), p -> {pt}))")
+    # close an open ring, then pair each point with the next one
+    closed = ("array(if(get(ring, 0) = get(ring, size(ring) - 1), ring, "
+              "concat(ring, array(get(ring, 0)))))")
+    edges = ("transform(sequence(1, greatest(size(c) - 1, 1)), i -> named_struct("
+             "'x1', get(c, i - 1).x, 'y1', get(c, i - 1).y, 'x2', get(c, i).x, 'y2', get(c, i).y))")
+    return f"flatten(flatten(transform({rings}, ring -> transform({closed}, c -> {edges}))))"
 
 
-def wkt_edges(wkt: str | Column) -> Column:
+def wkt_edges(wkt: str) -> Column:
     """Edges of every ring of a WKT polygon or multipolygon.
 
-    Rings are closed if the text leaves them open.  A coordinate that is not a
-    number becomes null (see ``edges_valid``).
+    Open rings are closed.  A coordinate that is not a number becomes null
+    (see ``edges_valid``).
     """
-    rings = F.regexp_extract_all(_c(wkt), F.lit(RING_PATTERN), F.lit(1))
-    return F.flatten(F.transform(rings, lambda r: _ring_edges(_closed(_ring_points(r)))))
+    return F.expr(wkt_edges_sql(wkt))
+
+
+def edges_valid_sql(edges: str) -> str:
+    e = _q(edges)
+    return (f"(size({e}) >= 3 AND forall({e}, s -> s.x1 IS NOT NULL AND s.y1 IS NOT NULL "
+            f"AND s.x2 IS NOT NULL AND s.y2 IS NOT NULL))")
 
 
-def edges_valid(edges: str | Column) -> Column:
+def edges_valid(edges: str) -> Column:
     """True when there are at least three edges and every coordinate is set."""
-    e = _c(edges)
-    return (F.size(e) >= 3) & F.forall(e, lambda s: s["x1"].isNotNull() & s["y1"].isNotNull()
-                                       & s["x2"].isNotNull() & s["y2"].isNotNull())
+    return F.expr(edges_valid_sql(edges))
 
 
-def bounding_box(edges: str | Column) -> Column:
+def bounding_box_sql(edges: str) -> str:
+    e = _q(edges)
+    return ("named_struct("
+            f"'min_x', array_min(transform({e}, s -> least(s.x1, s.x2))), "
+            f"'min_y', array_min(transform({e}, s -> least(s.y1, s.y2))), "
+            f"'max_x', array_max(transform({e}, s -> greatest(s.x1, s.x2))), "
+            f"'max_y', array_max(transform({e}, s -> greatest(s.y1, s.y2))))")
+
+
+def bounding_box(edges: str) -> Column:
     """``struct<min_x,min_y,max_x,max_y>`` of an edge list."""
-    e = _c(edges)
-    return F.struct(
-        F.array_min(F.transform(e, lambda s: F.least(s["x1"], s["x2"]))).alias("min_x"),
-        F.array_min(F.transform(e, lambda s: F.least(s["y1"], s["y2"]))).alias("min_y"),
-        F.array_max(F.transform(e, lambda s: F.greatest(s["x1"], s["x2"]))).alias("max_x"),
-        F.array_max(F.transform(e, lambda s: F.greatest(s["y1"], s["y2"]))).alias("max_y"))
+    return F.expr(bounding_box_sql(edges))
+
+
+def in_box_sql(box: str, x: str, y: str) -> str:
+    b, x, y = _q(box), _q(x), _q(y)
+    return f"({x} >= {b}.min_x AND {x} <= {b}.max_x AND {y} >= {b}.min_y AND {y} <= {b}.max_y)"
 
 
-def in_box(box: str | Column, x: str | Column, y: str | Column) -> Column:
-    b, x, y = _c(box), _c(x), _c(y)
-    return (x >= b["min_x"]) & (x <= b["max_x"]) & (y >= b["min_y"]) & (y <= b["max_y"])
+def on_boundary_sql(edges: str, x: str, y: str) -> str:
+    x, y = _q(x), _q(y)
+    return (f"exists({_q(edges)}, s -> "
+            f"(s.x2 - s.x1) * ({y} - s.y1) - (s.y2 - s.y1) * ({x} - s.x1) = 0 "
+            f"AND {x} >= least(s.x1, s.x2) AND {x} <= greatest(s.x1, s.x2) "
+            f"AND {y} >= least(s.y1, s.y2) AND {y} <= greatest(s.y1, s.y2))")
 
 
-def on_boundary(edges: str | Column, x: str | Column, y: str | Column) -> Column:
+def crossing_parity_sql(edges: str, x: str, y: str) -> str:
+    x, y = _q(x), _q(y)
+    return (f"aggregate({_q(edges)}, false, (acc, s) -> acc != ("
+            f"((s.y1 > {y}) != (s.y2 > {y})) "
+            f"AND ({x} < (s.x2 - s.x1) * ({y} - s.y1) / (s.y2 - s.y1) + s.x1)))")
+
+
+def contains_point_sql(edges: str, x: str, y: str, box: str | None = None) -> str:
+    inside = f"({crossing_parity_sql(edges, x, y)} AND NOT {on_boundary_sql(edges, x, y)})"
+    if box is not None:
+        inside = f"({in_box_sql(box, x, y)} AND {inside})"
+    return f"coalesce({inside}, false)"
+
+
+def on_boundary(edges: str, x: str, y: str) -> Column:
     """True when (x, y) lies on one of the edges (collinear and within its box)."""
-    x, y = _c(x), _c(y)
-    return F.exists(_c(edges), lambda s: (
-        ((s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"]) == 0)
-        & (x >= F.least(s["x1"], s["x2"])) & (x <= F.greatest(s["x1"], s["x2"]))
-        & (y >= F.least(s["y1"], s["y2"])) & (y <= F.greatest(s["y1"], s["y2"]))))
+    return F.expr(on_boundary_sql(edges, x, y))
 
 
-def crossing_parity(edges: str | Column, x: str | Column, y: str | Column) -> Column:
+def crossing_parity(edges: str, x: str, y: str) -> Column:
     """Even-odd ray cast to +x: true when the ray crosses an odd number of edges."""
-    x, y = _c(x), _c(y)
-    return F.aggregate(_c(edges), F.lit(False), lambda acc, s: acc != (
-        ((s["y1"] > y) != (s["y2"] > y))
-        & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])))
+    return F.expr(crossing_parity_sql(edges, x, y))
+
 
+def in_box(box: str, x: str, y: str) -> Column:
+    return F.expr(in_box_sql(box, x, y))
 
-def contains_point(edges: str | Column, x: str | Column, y: str | Column,
-                   box: str | Column | None = None) -> Column:
+
+def contains_point(edges: str, x: str, y: str, box: str | None = None) -> Column:
     """Strict containment of (x, y) in the polygon given by its edges."""
-    inside = crossing_parity(edges, x, y) & ~on_boundary(edges, x, y)
-    if box is not None:
-        inside = in_box(box, x, y) & inside
-    return F.coalesce(inside, F.lit(False))
+    return F.expr(contains_point_sql(edges, x, y, box))

@@ -52,7 +52,8 @@ def street_name(address: str | Column) -> Column:
 
 
 def day_or_night(t: str | Column, sunrise: str | Column, sunset: str | Column) -> Column:
-    """Day/Night from three sortable clock texts (see ``time.clock_time``).
+    """Day/Night from three comparable times of day (seconds of day, or
+    sortable clock texts).
 
     When sunrise is after sunset (the UTC clock wrapped past midnight) it is
     night strictly between sunset and sunrise; otherwise it is day strictly

@@ -17,6 +17,7 @@ CLOCK_12H = "h:mm:ss a"
 # Zero-padded, fixed-width clock text: comparing two such strings orders them
 # in time, microseconds included.
 CLOCK_SORTABLE = "HH:mm:ss.SSSSSS"
+CLOCK_12H_PATTERN = r"^(\d{1,2}):(\d{2}):(\d{2}) ([AaPp][Mm])$"
 
 
 def _c(c: str | Column) -> Column:
@@ -32,8 +33,28 @@ def local_to_utc(ts: str | Column, zone: str = DEFAULT_ZONE) -> Column:
 
 
 def date_text(ts: str | Column) -> Column:
-    """Calendar date as ``yyyy-MM-dd`` text (never the week-based ``YYYY``)."""
-    return F.date_format(_c(ts), DATE_TEXT)
+    """Calendar date as ``yyyy-MM-dd`` text (never the week-based ``YYYY``).
+    A zone-free timestamp converts to its date without any zone."""
+    return _c(ts).cast("date").cast("string")
+
+
+def seconds_of_day(ts: str | Column) -> Column:
+    """Seconds since midnight of the wall clock, microseconds kept (decimal)."""
+    t = _c(ts)
+    return (F.hour(t) * 3600 + F.minute(t) * 60).cast("decimal(11,6)") + F.extract(F.lit("SECOND"), t)
+
+
+def clock_seconds(text: str | Column) -> Column:
+    """Seconds since midnight of 12-hour clock text (``3:25:00 PM``); null when
+    the text is not such a time (hour 1-12, minutes and seconds 0-59)."""
+    t = _c(text)
+    h = F.regexp_extract(t, CLOCK_12H_PATTERN, 1).try_cast("int")
+    m = F.regexp_extract(t, CLOCK_12H_PATTERN, 2).try_cast("int")
+    sec = F.regexp_extract(t, CLOCK_12H_PATTERN, 3).try_cast("int")
+    pm = F.upper(F.regexp_extract(t, CLOCK_12H_PATTERN, 4)) == "PM"
+    ok = h.between(1, 12) & m.between(0, 59) & sec.between(0, 59)
+    value = ((h % 12) + F.when(pm, 12).otherwise(0)) * 3600 + m * 60 + sec
+    return F.when(ok, value.cast("decimal(11,6)"))
 
 
 def clock_of(ts: str | Column) -> Column:

@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (address_type, clock_of, clock_time, date_text, day_or_night,
-                         local_to_utc, street_name, weekend_flag)
+from ..functions import (address_type, clock_seconds, date_text, day_or_night, local_to_utc,
+                         seconds_of_day, street_name, weekend_flag)
 from ..schemas import DEFAULT_ZONE
 from .joins import with_sun_times
 
@@ -41,13 +41,17 @@ def day_night_feature(df: DataFrame, sun: DataFrame | None = None, time_col: str
                       date_col: str = "Date", how: str = "inner") -> DataFrame:
     """``DayOrNight`` from the UTC time of day and that date's sunrise/sunset.
 
-    With ``sun`` given, it is joined first (inner: dates without sun times drop);
-    without it, ``sunrise``/``sunset`` must already be columns of ``df``.
+    With ``sun`` given, it is joined first (inner: dates without sun times drop)
+    and its clock texts are parsed once per date on the small side; without
+    it, ``sunrise``/``sunset`` must already be columns of ``df``.
     """
-    if sun is not None:
-        df = with_sun_times(df, sun, date_col=date_col, how=how)
-    return df.withColumn("DayOrNight", day_or_night(
-        clock_of(time_col), clock_time("sunrise"), clock_time("sunset")))
+    if sun is None:
+        return df.withColumn("DayOrNight", day_or_night(
+            seconds_of_day(time_col), clock_seconds("sunrise"), clock_seconds("sunset")))
+    sun = sun.withColumns({"__rise": clock_seconds("sunrise"), "__set": clock_seconds("sunset")})
+    df = with_sun_times(df, sun, date_col=date_col, how=how, extra=("__rise", "__set"))
+    return (df.withColumn("DayOrNight", day_or_night(seconds_of_day(time_col), "__rise", "__set"))
+            .drop("__rise", "__set"))
 
 
 def enrich(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:

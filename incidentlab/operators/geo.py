@@ -13,11 +13,12 @@ No cross join, no per-row Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bounding_box, contains_point, edges_valid, wkt_edges
+from ..functions.geometry import bounding_box, contains_point_sql, edges_valid, wkt_edges
 from ..schemas import DEFAULT_NEIGHBORHOOD
+from ..session import materialize
 
 DEFAULT_CELL_SIZE = 0.01            # degrees: about 1 km at city latitudes
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -27,57 +28,67 @@ _CANDIDATE_BYTES = 96               # ord, name, box and array headers
 
 
 def polygon_table(polygons: DataFrame, name: str = "name", wkt: str = "polygon",
-                  order: str = "ord", on_error: str = "raise") -> DataFrame:
-    """``(ord, name, edges, box)`` from ``(name, WKT, ord)`` rows.
+                  order: str = "ord", on_error: str = "raise",
+                  checkpoint: bool = True) -> DataFrame:
+    """``(ord, name, edges, valid, box)`` from ``(name, WKT, ord)`` rows.
 
     ``on_error="raise"`` fails on a polygon whose WKT gives no usable ring;
     ``"default"`` drops such polygons, so points fall to the default name.
+    With ``checkpoint`` the parsed edges (one row per polygon) are written to
+    the shared checkpoint folder, so later plans read arrays instead of
+    re-planning the parsing expressions at every use.
     """
     if on_error not in ("raise", "default"):
         raise ValueError(f"on_error must be 'raise' or 'default', not {on_error!r}")
-    poly = (polygons.select(F.col(order).alias("ord"), F.col(name).alias("name"),
-                            wkt_edges(wkt).alias("edges"))
-            .withColumn("valid", F.coalesce(edges_valid("edges"), F.lit(False)))
-            .withColumn("box", bounding_box("edges")))
+    parsed = polygons.select(F.col(order).alias("ord"), F.col(name).alias("name"),
+                             wkt_edges(wkt).alias("edges"))
+    if checkpoint:
+        parsed = materialize(parsed)
+    poly = parsed.select("ord", "name", "edges",
+                         F.coalesce(edges_valid("edges"), F.lit(False)).alias("valid"),
+                         bounding_box("edges").alias("box"))
     if on_error == "default":
         poly = poly.filter("valid")
     return poly
 
 
-def _cell_range(lo: str, hi: str, size: float):
-    box = F.col("box")
-    return F.sequence(F.floor(box[lo] / size), F.floor(box[hi] / size))
+def _cells_across(lo: str, hi: str, size: Column) -> Column:
+    return F.floor(F.col("box")[hi] / size) - F.floor(F.col("box")[lo] / size) + 1
 
 
 def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[float, bool]:
     """Smallest grid size ``cell_size * 2^k`` whose cell table is estimated under
-    ``max_bytes``; returns ``(size, fits)``.  One aggregate over the polygons,
-    which also fails on an invalid polygon left in the table."""
-    box = F.col("box")
-    poly_bytes = F.size("edges") * _EDGE_BYTES + _CANDIDATE_BYTES
-    sizes = [cell_size * (2 ** k) for k in range(_COARSEN_STEPS)]
-    estimates = [
-        F.sum(((F.floor(box["max_x"] / s) - F.floor(box["min_x"] / s) + 1)
-               * (F.floor(box["max_y"] / s) - F.floor(box["min_y"] / s) + 1)).cast("double")
-              * poly_bytes).alias(f"e{k}")
-        for k, s in enumerate(sizes)]
-    bad = F.min(F.when(~F.col("valid"), F.col("name"))).alias("bad")
-    row = poly.agg(F.count(F.when(~F.col("valid"), 1)).alias("n_bad"), bad, *estimates).first()
-    if row["n_bad"]:
-        raise ValueError(f"polygon {row['bad']!r} has no valid ring")
-    for k, s in enumerate(sizes):
-        est = row[f"e{k}"]
-        if est is None or est <= max_bytes:
-            return s, True
+    ``max_bytes``; returns ``(size, fits)``.  One aggregate over the polygons
+    (a row per candidate size comes back), which also fails on an invalid
+    polygon left in the table."""
+    size = F.lit(cell_size) * F.pow(F.lit(2.0), F.col("k"))
+    per_poly = ((_cells_across("min_x", "max_x", size) * _cells_across("min_y", "max_y", size))
+                .cast("double") * (F.size("edges") * _EDGE_BYTES + _CANDIDATE_BYTES))
+    rows = (poly.select("name", "valid", "box", "edges",
+                        F.explode(F.sequence(F.lit(0), F.lit(_COARSEN_STEPS - 1))).alias("k"))
+            .groupBy("k")
+            .agg(F.sum(per_poly).alias("bytes"),
+                 F.count(F.when(~F.col("valid"), 1)).alias("n_bad"),
+                 F.min(F.when(~F.col("valid"), F.col("name"))).alias("bad"))
+            .collect())
+    rows.sort(key=lambda r: r["k"])
+    if rows and rows[0]["n_bad"]:
+        raise ValueError(f"polygon {rows[0]['bad']!r} has no valid ring")
+    for r in rows:
+        if r["bytes"] is None or r["bytes"] <= max_bytes:
+            return cell_size * (2 ** r["k"]), True
     return cell_size, False
 
 
 def polygon_cells(poly: DataFrame, cell_size: float) -> DataFrame:
     """``(cx, cy, cands)``: per grid cell, the polygons whose box touches it,
     sorted by ``ord``."""
-    cells = (poly.select("*", F.explode(_cell_range("min_x", "max_x", cell_size)).alias("cx"))
-             .select("*", F.explode(_cell_range("min_y", "max_y", cell_size)).alias("cy")))
+    def cell_range(lo: str, hi: str) -> Column:
+        box = F.col("box")
+        return F.sequence(F.floor(box[lo] / cell_size), F.floor(box[hi] / cell_size))
+    cells = (poly.select("*", F.explode(cell_range("min_x", "max_x")).alias("cx"))
+             .select("*", F.explode(cell_range("min_y", "max_y")).alias("cy")))
     # a cell's list is bounded by the polygon count, never by the incidents
     return cells.groupBy("cx", "cy").agg(
         F.array_sort(F.collect_list(F.struct("ord", "name", "box", "edges"))).alias("cands"))
@@ -100,9 +111,11 @@ def with_neighborhood(df: DataFrame, polygons: DataFrame, x: str = "X", y: str =
              .withColumnRenamed("cx", "__cell_x").withColumnRenamed("cy", "__cell_y"))
     if fits:
         cells = F.broadcast(cells)
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    keyed = df.withColumns({"__cell_x": F.floor(px / size), "__cell_y": F.floor(py / size)})
+    keyed = df.withColumns({"__px": F.col(x).cast("double"), "__py": F.col(y).cast("double")})
+    keyed = keyed.withColumns({"__cell_x": F.floor(F.col("__px") / size),
+                               "__cell_y": F.floor(F.col("__py") / size)})
     joined = keyed.join(cells, ["__cell_x", "__cell_y"], "left")
-    hit = F.get(F.filter("cands", lambda c: contains_point(c["edges"], px, py, c["box"])), 0)
-    return (joined.withColumn(out, F.coalesce(hit["name"], F.lit(default)))
-            .drop("__cell_x", "__cell_y", "cands"))
+    test = contains_point_sql("c.edges", "__px", "__py", "c.box")
+    hit = F.expr(f"get(filter(cands, c -> {test}), 0).name")
+    return (joined.withColumn(out, F.coalesce(hit, F.lit(default)))
+            .drop("__cell_x", "__cell_y", "__px", "__py", "cands"))

@@ -58,14 +58,12 @@ def assert_unique_dates(table: DataFrame, key: str = "date") -> None:
 
 def with_sun_times(df: DataFrame, sun: DataFrame, date_col: str = "Date", how: str = "inner",
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                   check_unique: bool = False) -> DataFrame:
-    """Attach ``sunrise``/``sunset`` of the incident's (UTC) date.
-
-    Inner by default: incidents without a sun row are dropped.
+                   check_unique: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Attach ``sunrise``/``sunset`` (and ``extra`` columns) of the incident's
+    (UTC) date.  Inner by default: incidents without a sun row are dropped.
     """
-    sun = _date_keyed(sun.select(*[c for c in sun.columns
-                                   if c.lower() in (date_col.lower(), "sunrise", "sunset")]),
-                      date_col)
+    wanted = {date_col.lower(), "sunrise", "sunset", *(e.lower() for e in extra)}
+    sun = _date_keyed(sun.select(*[c for c in sun.columns if c.lower() in wanted]), date_col)
     if check_unique:
         assert_unique_dates(sun, date_col)
     return df.join(bounded_broadcast(sun, max_broadcast_rows), date_col, how)
