@@ -111,11 +111,19 @@ def evaluator(metric: str = "accuracy") -> MulticlassClassificationEvaluator:
 
 
 def train(df: DataFrame, pipeline: Pipeline, folds: int = 3, seed: int = 42,
-          grid: list[dict] | None = None, parallelism: int = 1) -> CrossValidatorModel:
-    """``folds``-fold cross validation by accuracy, best map refitted on all of ``df``."""
+          grid: list[dict] | None = None, parallelism: int = 1,
+          fold_col: str | None = None) -> CrossValidatorModel:
+    """``folds``-fold cross validation by accuracy, best map refitted on all of ``df``.
+
+    With ``fold_col`` (values ``0..folds-1``) folds are fixed by the data, so
+    a recomputed partition lands in the same fold; otherwise folds come from
+    a seeded random column.
+    """
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid or param_grid(),
                         evaluator=evaluator(), numFolds=folds, seed=seed,
                         parallelism=parallelism)
+    if fold_col:
+        cv = cv.setFoldCol(fold_col)
     return cv.fit(df)
 
 

@@ -14,9 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import model as M
-from ..operators.split import combine, split_by_key, split_random
+from pyspark.sql import functions as F
+
+from ..operators.split import combine, key_bucket, split_by_key, split_random
 from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES, PREDICTION_COLUMNS
-from ..session import materialize
+from ..session import write_table
+
+FOLD_COL = "__fold"
 
 
 @dataclass
@@ -49,7 +53,7 @@ def split(enriched: DataFrame, key: str | None = "Id", train_pct: int = 70,
 
 def fit_models(train: DataFrame, test: DataFrame, kind: str, folds: int = 3, seed: int = 42,
                parallelism: int = 1, handle_invalid: str = "error", grid: list[dict] | None = None,
-               cv_metrics: bool = False, **overrides):
+               cv_metrics: bool = False, key: str | None = None, **overrides):
     """Indexers on train ∪ test, pipeline, cross-validated fit on train.
 
     Cross validation only chooses among parameter maps; the chosen map is then
@@ -61,8 +65,14 @@ def fit_models(train: DataFrame, test: DataFrame, kind: str, folds: int = 3, see
     pipeline = M.build_pipeline(kind, feat_idx, label_idx, seed=seed, **overrides)
     grid = grid or M.param_grid()
     if folds and folds > 1 and (len(grid) > 1 or cv_metrics):
+        fold_col = None
+        if key:
+            # folds fixed by a hash of the key (independent of the 70/30 buckets)
+            train = train.withColumn(FOLD_COL, (key_bucket(F.concat(F.lit("fold:"), F.col(key)
+                                                                     .cast("string")), folds)).cast("int"))
+            fold_col = FOLD_COL
         return M.train(train, pipeline, folds=folds, seed=seed, grid=grid,
-                       parallelism=parallelism)
+                       parallelism=parallelism, fold_col=fold_col)
     return pipeline.copy(grid[0]).fit(train) if grid[0] else pipeline.fit(train)
 
 
@@ -70,11 +80,16 @@ def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 4
                    key: str | None = "Id", train_pct: int = 70, checkpoint: bool = True,
                    evaluate: bool = True, parallelism: int = 1, grid: list[dict] | None = None,
                    cv_metrics: bool = False, **overrides) -> ClassifierRun:
-    """The whole classifier job over enriched incidents."""
-    data = materialize(enriched) if checkpoint else enriched
+    """The whole classifier job over enriched incidents.
+
+    With ``checkpoint`` the enriched rows are written once as parquet in the
+    shared checkpoint folder; the indexer pass, every training pass and the
+    scoring pass read that table.
+    """
+    data = write_table(enriched, "enriched") if checkpoint else enriched
     train, test = split(data, key, train_pct, seed)
     model = fit_models(train, test, kind, folds=folds, seed=seed, parallelism=parallelism,
-                       grid=grid, cv_metrics=cv_metrics, **overrides)
+                       grid=grid, cv_metrics=cv_metrics, key=key, **overrides)
     scored = M.score(model, test)
     run = ClassifierRun(kind=kind, model=model, predictions=scored)
     if evaluate:

@@ -308,6 +308,7 @@ def oracle_sql() -> dict[str, str]:
                           " SELECT Id, Dates, Category, DayOfWeek, PdDistrict, Address, X, Y"
                           " FROM incidents")
     q["json_roundtrip"] = "WITH " + DAILY_WEATHER + " SELECT date, temperatureC, weather FROM daily"
+    q["sun_json_roundtrip"] = "WITH " + SUN + " SELECT date, sunrise, sunset FROM sun"
     nb = "WITH " + ENRICHED + FREQUENCY + _naive_bayes_ctes()
     pred_cols = ", ".join(f'e."{c}"' for c in PREDICTION_COLUMNS if c != "PredictedCategory")
     q["nb_predictions"] = (nb + f" SELECT e.Id, {pred_cols}, lab.value AS PredictedCategory"

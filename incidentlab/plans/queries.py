@@ -12,12 +12,12 @@ from ..operators import model as M
 from ..operators.features import address_features, day_night_feature, time_features, weekend_feature
 from ..operators.geo import with_neighborhood
 from ..operators.joins import with_weather
-from ..operators.split import key_bucket
+from ..operators.split import key_bucket, split_random
 from ..operators.weather import daily_weather
 from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTION_COLUMNS, incident_schema
 from ..session import scratch_path
 from ..sources import testdata as td
-from ..sources.files import read_daily_weather, read_incidents
+from ..sources.files import read_daily_weather, read_incidents, read_sun_times
 from ..sources.responses import parse_sun_responses, parse_weather_responses
 from ..sources.sinks import write_daily_table, write_predictions
 from .classify import feature_columns, run_classifier, split
@@ -151,6 +151,20 @@ def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_daily_weather(spark, path, layout="lines")
 
 
+def q_sun_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Sun times written as JSON lines, then read back with the sun reader."""
+    path = scratch_path(spark, "sun-json")
+    write_daily_table(td.sun_times(spark, sf), path)
+    return read_sun_times(spark, path, layout="lines")
+
+
+def q_random_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeded 70/30 Bernoulli split of the enriched rows, labelled by part."""
+    train, test = split_random(enriched(spark, sf).select("Id", "Category"), (0.7, 0.3), 42)
+    return (train.withColumn("part", F.lit("train"))
+            .unionByName(test.withColumn("part", F.lit("test"))))
+
+
 def _predictions(kind: str):
     def q(spark: SparkSession, sf: str) -> DataFrame:
         run = run_classifier(enriched(spark, sf), kind, evaluate=False)
@@ -197,6 +211,8 @@ def queries() -> dict[str, Query]:
         "frequency_index": q_frequency_index,
         "csv_roundtrip": q_csv_roundtrip,
         "json_roundtrip": q_json_roundtrip,
+        "sun_json_roundtrip": q_sun_json_roundtrip,
+        "random_split": q_random_split,
         "nb_predictions": _predictions("nb"),
         "nb_accuracy": _accuracy("nb"),
         "dt_predictions": _predictions("dt"),
@@ -204,4 +220,7 @@ def queries() -> dict[str, Query]:
         "lr_predictions": _predictions("lr"),
         "dt_importance": _importance("dt"),
         "rf_importance": _importance("rf"),
+        "dt_accuracy": _accuracy("dt"),
+        "rf_accuracy": _accuracy("rf"),
+        "lr_accuracy": _accuracy("lr"),
     }

@@ -69,3 +69,12 @@ def materialize(df: DataFrame) -> DataFrame:
     loss of executors, unlike a local checkpoint or cache)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint
+    folder and reading it back.  Later passes read only the columns they use
+    (compressed, columnar), which matters for iterative training."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -70,3 +70,35 @@ def test_single_candidate_fit_equals_cross_validated_refit(spark, data):
 def test_accuracy_frame_matches_evaluator(spark, data):
     run = run_classifier(data, "nb")
     assert M.accuracy_frame(run.predictions).first().accuracy == pytest.approx(run.accuracy)
+
+
+def test_classifier_job_from_files(spark, tmp_dir):
+    """The file-to-file job: CSV + JSON arrays in, 3 CSV part files out."""
+    import json
+    import os
+
+    from incidentlab.plans.jobs import classifier_job, report
+    from incidentlab.plans.queries import _daily
+    from incidentlab.sources import testdata as td
+    from pyspark.sql import functions as F
+    from incidentlab.schemas import incident_schema
+    inc = td.incidents(spark, SF_SMALL).withColumns(
+        {"Descript": F.lit("d"), "Resolution": F.lit("r")}).select(*incident_schema().names)
+    csv = os.path.join(tmp_dir, "train")
+    inc.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(csv)
+
+    def array_file(name, df):
+        path = os.path.join(tmp_dir, name)
+        with open(path, "w") as f:
+            json.dump([r.asDict() for r in df.collect()], f, indent=2)
+        return path
+    sun = array_file("sun.json", td.sun_times(spark, SF_SMALL))
+    wx = array_file("weather.json", _daily(spark, SF_SMALL))
+    hoods = array_file("hoods.json", td.polygons(spark).orderBy("ord").select("name", "polygon"))
+    out = os.path.join(tmp_dir, "rf_output")
+    run = classifier_job(spark, csv, sun, wx, hoods, out, kind="rf", cv_metrics=True)
+    rep = report(run)
+    assert 0 <= rep["accuracy"] <= 1 and len(rep["importances"]) == 14
+    assert len([f for f in os.listdir(out) if f.startswith("part-")]) == 3
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == PREDICTION_COLUMNS and back.count() > 0

@@ -7,7 +7,8 @@ from compare import compare
 
 from conftest import SF_ORACLE, SF_SMALL
 
-SLOW = {"dt_predictions", "rf_predictions", "lr_predictions", "dt_importance", "rf_importance"}
+SLOW = {"dt_predictions", "rf_predictions", "lr_predictions", "dt_importance", "rf_importance",
+        "dt_accuracy", "rf_accuracy", "lr_accuracy", "random_split"}
 
 
 def test_every_query_but_rows_only_ones_has_an_oracle():
