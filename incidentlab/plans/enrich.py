@@ -17,6 +17,7 @@ from ..operators.features import (address_features, day_night_feature, enrich, t
 from ..operators.geo import with_neighborhood
 from ..operators.joins import with_weather
 from ..schemas import DEFAULT_ZONE
+from ..session import spread
 
 
 def enrichment_steps(sun: DataFrame, weather: DataFrame, polygons: DataFrame,
@@ -35,4 +36,4 @@ def enrich_incidents(incidents: DataFrame, sun: DataFrame, weather: DataFrame,
                      polygons: DataFrame, zone: str = DEFAULT_ZONE, how: str = "inner",
                      **geo_opts) -> DataFrame:
     """All features of the classifiers, added to every incident row."""
-    return enrich(incidents, enrichment_steps(sun, weather, polygons, zone, how, **geo_opts))
+    return enrich(spread(incidents), enrichment_steps(sun, weather, polygons, zone, how, **geo_opts))

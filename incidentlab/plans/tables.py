@@ -11,6 +11,7 @@ from ..sources.responses import parse_sun_responses, parse_weather_responses
 from ..sources.sinks import write_daily_table
 from ..sources.spine import SF_LAT, SF_LNG, SUN_URL_TEMPLATE, WEATHER_URL_TEMPLATE
 from ..functions import iso_date, request_url
+from ..session import spread
 
 
 def request_list(dates: DataFrame, lat: float = SF_LAT, lng: float = SF_LNG) -> DataFrame:
@@ -30,7 +31,8 @@ def sun_table(responses: DataFrame, body: str = "body", date: str = "date"):
 def weather_table(responses: DataFrame, body: str = "body", date: str = "date",
                   order: str | None = None, round_to: int | None = None):
     """``(table, rejected)``: readings parsed, then rolled up per date."""
-    readings, rejected = parse_weather_responses(responses, body=body, date=date, order=order)
+    readings, rejected = parse_weather_responses(spread(responses), body=body, date=date,
+                                                 order=order)
     return daily_weather(readings, round_to=round_to), rejected
 
 

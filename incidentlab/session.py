@@ -78,3 +78,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work at least ``min_partitions`` tasks (default:
+    the cluster's default parallelism).
+
+    A large input already has far more splits than that and passes through
+    untouched (no shuffle); a small or unsplittable one (a single row group,
+    one gzip file) is spread round-robin so the per-row work uses every core.
+    """
+    if df.isStreaming:
+        return df     # micro-batches are sized by the source's own options
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
