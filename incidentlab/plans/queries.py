@@ -95,8 +95,7 @@ def _weather_parsed(spark: SparkSession, sf: str):
 
 def q_weather_readings(spark: SparkSession, sf: str) -> DataFrame:
     good, _ = _weather_parsed(spark, sf)
-    return good.select("date", F.col("seq.__order").alias("rid"), F.col("seq.line_no").alias("line_no"),
-                       "temp", "weather")
+    return good.select("date", "rid", "line_no", "temp", "weather")
 
 
 def q_weather_rejected(spark: SparkSession, sf: str) -> DataFrame:

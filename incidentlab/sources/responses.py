@@ -16,6 +16,7 @@ SUN_RESULTS_SCHEMA = "results map<string,string>"
 WEATHER_HEADER_LINES = 2
 WEATHER_TEMP_FIELD = 1
 WEATHER_CONDITION_FIELD = 11
+LINES_PER_RESPONSE = 10 ** 9       # line numbers stay below this in a sequence key
 
 
 def parse_sun_responses(df: DataFrame, body: str = "body",
@@ -48,9 +49,12 @@ def parse_weather_responses(df: DataFrame, body: str = "body", date: str = "date
 
     The first ``skip`` lines of a body are headers.  Field 1 is the
     temperature, field 11 the condition (0-based).  ``seq`` orders readings
-    within a date: ``(order, line)`` when an ``order`` column is given, else
-    the line number.  Lines with fewer than 12 fields or a temperature that is
-    not a number are rejected as ``(date, line_no, line, reason)``.
+    within a date: ``order * 10^9 + line`` (an integral ``order`` column,
+    e.g. a response id) when given, else the line number; one integral key
+    keeps the roll-up's partial aggregation hash-based.  The readings keep
+    ``line_no`` (and ``order``).  Lines with fewer than 12 fields or a
+    temperature that is not a number are rejected as
+    ``(date, [order,] line_no, line, reason)``.
     """
     keep = [F.col(date).alias("date")] + ([F.col(order).alias("__order")] if order else [])
     parts = F.split(F.col(body), r"\r?\n")
@@ -67,9 +71,13 @@ def parse_weather_responses(df: DataFrame, body: str = "body", date: str = "date
         "reason": F.when(~enough, F.lit("too few fields"))
                    .when(temp.isNull(), F.lit("temperature is not a number")),
     })
-    seq = F.struct("__order", "line_no") if order else F.col("line_no")
+    seq = (F.col("__order").cast("decimal(38,0)") * LINES_PER_RESPONSE + F.col("line_no")
+           if order else F.col("line_no"))
     good = checked.filter(F.col("reason").isNull()).select(
-        "date", "temp", "weather", seq.alias("seq"))
+        "date", "temp", "weather", seq.alias("seq"),
+        *(["__order"] if order else []), "line_no")
+    if order:
+        good = good.withColumnRenamed("__order", order)
     bad = checked.filter(F.col("reason").isNotNull()).select(
         "date", *(["__order"] if order else []), "line_no", "line", "reason")
     if order:

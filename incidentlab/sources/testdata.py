@@ -55,7 +55,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts),
                              F.minute(ts), F.second(ts)).alias("Dates"),
         F.col("event_type").alias("Category"),
-        F.date_format(ts, "EEEE").alias("DayOfWeek"),
+        F.date_format(ts.cast("date"), "EEEE").alias("DayOfWeek"),
         name.alias("PdDistrict"),
         address.alias("Address"),
         # exact decimal arithmetic, then one rounding to double

@@ -32,3 +32,13 @@ def test_entry_smoke(spark):
 @pytest.mark.parametrize("name", sorted(SLOW))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", ["enriched", "csv_roundtrip"])
+def test_results_do_not_depend_on_session_zone(spark, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        ok, msg = compare(spark, name, SF_ORACLE, E.queries()[name], E.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert ok, msg

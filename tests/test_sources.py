@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from incidentlab.schemas import PREDICTION_COLUMNS, incident_schema
 from incidentlab.sources.files import (read_daily_weather, read_incidents, read_polygons,
@@ -104,8 +105,10 @@ def test_weather_responses_rules(spark):
     ]
     df = spark.createDataFrame(bodies, "date string, body string")
     good, bad = parse_weather_responses(df)
-    assert [(r.temp, r.weather, r.seq) for r in good.orderBy("seq").collect()] == [
-        (10.0, "Clear", 2), (14.0, "Fog", 6)]
+    assert [(r.temp, r.weather, r.seq, r.line_no) for r in good.orderBy("seq").collect()] == [
+        (10.0, "Clear", 2, 2), (14.0, "Fog", 6, 6)]
+    keyed, _ = parse_weather_responses(df.withColumn("rid", F.lit(7)), order="rid")
+    assert [int(r.seq) for r in keyed.orderBy("seq").collect()] == [7 * 10 ** 9 + 2, 7 * 10 ** 9 + 6]
     assert [(r.line_no, r.reason) for r in bad.orderBy("line_no").collect()] == [
         (3, "temperature is not a number"), (4, "too few fields"), (5, "too few fields")]
 
