@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bounding_box, contains_point_sql, edges_valid, wkt_edges
 from ..schemas import DEFAULT_NEIGHBORHOOD
-from ..session import materialize
+from ..session import materialize, write_table
 
 DEFAULT_CELL_SIZE = 0.01            # degrees: about 1 km at city latitudes
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -111,6 +111,10 @@ def with_neighborhood(df: DataFrame, polygons: DataFrame, x: str = "X", y: str =
              .withColumnRenamed("cx", "__cell_x").withColumnRenamed("cy", "__cell_y"))
     if fits:
         cells = F.broadcast(cells)
+    else:
+        # too big to broadcast: write it once, so the join shuffles both sides
+        # afresh and AQE's skew rule can split a hot cell of the incidents
+        cells = write_table(cells, "polygon-cells")
     keyed = df.withColumns({"__px": F.col(x).cast("double"), "__py": F.col(y).cast("double")})
     keyed = keyed.withColumns({"__cell_x": F.floor(F.col("__px") / size),
                                "__cell_y": F.floor(F.col("__py") / size)})

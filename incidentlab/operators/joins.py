@@ -12,6 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 # A day table of 100,000 rows covers 270 years; at a few dozen bytes a row the
 # broadcast stays in the low megabytes.
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
@@ -24,13 +26,16 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      cache: bool = True) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` as is.
+                      cache: bool = True, large: str = "table") -> DataFrame:
+    """``broadcast(df)`` when its row count is proven small.
 
     With ``cache`` the rows read by the check are kept (memory, then disk) so
-    the join does not compute a derived table a second time; a table that
-    turns out large is released again.  Lost cached blocks are recomputed
-    from lineage.
+    the join does not compute a derived table a second time; lost cached
+    blocks are recomputed from lineage.  A table that turns out large is
+    released again and, with ``large="table"``, written once as parquet to
+    the checkpoint folder: the join then shuffles both sides afresh, which is
+    what lets AQE split a hot key of the other side (``large="as_is"`` keeps
+    the plan as given).
     """
     if cache:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -38,7 +43,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
         return F.broadcast(df)
     if cache:
         df.unpersist()
-    return df
+    return write_table(df, "large-side") if large == "table" else df
 
 
 def _date_keyed(table: DataFrame, key: str) -> DataFrame:
