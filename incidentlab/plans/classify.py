@@ -51,17 +51,22 @@ def split(enriched: DataFrame, key: str | None = "Id", train_pct: int = 70,
     return tr, te
 
 
-def fit_models(train: DataFrame, test: DataFrame, kind: str, folds: int = 3, seed: int = 42,
+def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int = 3, seed: int = 42,
                parallelism: int = 1, handle_invalid: str = "error", grid: list[dict] | None = None,
-               cv_metrics: bool = False, key: str | None = None, **overrides):
+               cv_metrics: bool = False, key: str | None = None, levels: DataFrame | None = None,
+               **overrides):
     """Indexers on train ∪ test, pipeline, cross-validated fit on train.
 
+    ``levels`` is the table to fit the indexers on when train ∪ test is
+    already at hand as one table (the unsplit rows: one scan instead of two).
+
     Cross validation only chooses among parameter maps; the chosen map is then
     refitted on all of ``train``.  With a single map (the default grid) the
     fold fits cannot change that model, so they run only when ``cv_metrics``
     asks for the fold accuracies.
     """
-    feat_idx, label_idx = M.fit_indexers(combine(train, test), handle_invalid=handle_invalid)
+    levels = levels if levels is not None else combine(train, test)
+    feat_idx, label_idx = M.fit_indexers(levels, handle_invalid=handle_invalid)
     pipeline = M.build_pipeline(kind, feat_idx, label_idx, seed=seed, **overrides)
     grid = grid or M.param_grid()
     if folds and folds > 1 and (len(grid) > 1 or cv_metrics):
@@ -88,8 +93,9 @@ def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 4
     """
     data = write_table(enriched, "enriched") if checkpoint else enriched
     train, test = split(data, key, train_pct, seed)
+    # train ∪ test is the unsplit table: fit the dictionaries on it in one scan
     model = fit_models(train, test, kind, folds=folds, seed=seed, parallelism=parallelism,
-                       grid=grid, cv_metrics=cv_metrics, key=key, **overrides)
+                       grid=grid, cv_metrics=cv_metrics, key=key, levels=data, **overrides)
     scored = M.score(model, test)
     run = ClassifierRun(kind=kind, model=model, predictions=scored)
     if evaluate:

@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from ..schemas import DEFAULT_ZONE, PREDICTION_COLUMNS
-from ..session import get_session
+from ..session import get_session, spread
 from ..sources.files import read_daily_weather, read_incidents, read_polygons, read_sun_times
 from ..sources.sinks import write_predictions
 from .classify import ClassifierRun, run_classifier
@@ -86,8 +86,8 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps(report(run), default=str))
     else:
         schema = "date string, body string"
-        build_tables(spark.read.schema(schema).json(args.sun_responses),
-                     spark.read.schema(schema).json(args.weather_responses),
+        build_tables(spread(spark.read.schema(schema).json(args.sun_responses)),
+                     spread(spark.read.schema(schema).json(args.weather_responses)),
                      args.sun_out, args.weather_out)
 
 

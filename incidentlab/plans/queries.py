@@ -15,7 +15,7 @@ from ..operators.joins import with_weather
 from ..operators.split import key_bucket, split_random
 from ..operators.weather import daily_weather
 from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTION_COLUMNS, incident_schema
-from ..session import scratch_path
+from ..session import scratch_path, write_table
 from ..sources import testdata as td
 from ..sources.files import read_daily_weather, read_incidents, read_sun_times
 from ..sources.responses import parse_sun_responses, parse_weather_responses
@@ -123,9 +123,8 @@ def q_combined_count(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_frequency_index(spark: SparkSession, sf: str) -> DataFrame:
     """Every (feature, level, index) the fitted indexers assign to the data."""
-    e = enriched(spark, sf)
-    train, test = split(e)
-    feat, lab = M.fit_indexers(train.unionByName(test))
+    e = write_table(enriched(spark, sf), "enriched")
+    feat, lab = M.fit_indexers(e)          # train ∪ test = every enriched row
     t = lab.transform(feat.transform(e))
     cols = CATEGORY_FEATURES + [LABEL_COL]
     args = ", ".join(f"'{c}', CAST(`{c}` AS STRING), `{c}Indexed`" for c in cols)

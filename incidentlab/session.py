@@ -87,6 +87,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A large input already has far more splits than that and passes through
     untouched (no shuffle); a small or unsplittable one (a single row group,
     one gzip file) is spread round-robin so the per-row work uses every core.
+    Apply it to a source right after reading: counting partitions plans the
+    frame, which would run any shuffle stage upstream of it.
     """
     if df.isStreaming:
         return df     # micro-batches are sized by the source's own options

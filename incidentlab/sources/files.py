@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import POLYGON_SCHEMA, SUN_SCHEMA, incident_schema
+from ..session import spread
 
 # --- fixed values: text layout of timestamps in the incident files ---
 READ_TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -29,7 +30,8 @@ def read_incidents(spark: SparkSession, path: str, schema: T.StructType | None =
     if corrupt_col:
         schema = T.StructType(schema.fields + [T.StructField(corrupt_col, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
-    return reader.schema(schema).csv(path)
+    # enrichment is per-row CPU work: a small or compressed file gets all cores
+    return spread(reader.schema(schema).csv(path))
 
 
 def _read_json(spark: SparkSession, path: str, schema: T.StructType, layout: str) -> DataFrame:

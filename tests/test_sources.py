@@ -27,11 +27,11 @@ def test_read_incidents_csv(spark, tmp_dir):
                '2015-05-13 23:53:00,WARRANTS,WARRANT ARREST,Wednesday,NORTHERN,"ARREST, BOOKED",'
                "OAK ST / LAGUNA ST,-122.42,37.77\n"
                "not a time,X,Y,Monday,D,R,A,abc,37.7\n")
-    rows = read_incidents(spark, p).collect()
+    rows = sorted(read_incidents(spark, p).collect(), key=lambda r: r.Dates is None)
     assert rows[0].Dates == dt.datetime(2015, 5, 13, 23, 53) and rows[0].Resolution == "ARREST, BOOKED"
     assert rows[0].X == -122.42
     assert rows[1].Dates is None and rows[1].X is None and rows[1].Y == 37.7
-    bad = read_incidents(spark, p, corrupt_col="_bad").collect()
+    bad = sorted(read_incidents(spark, p, corrupt_col="_bad").collect(), key=lambda r: r.Dates is None)
     assert bad[0]._bad is None and bad[1]._bad is not None
 
 
