@@ -57,11 +57,6 @@ def clock_seconds(text: str | Column) -> Column:
     return F.when(ok, value.cast("decimal(11,6)"))
 
 
-def clock_of(ts: str | Column) -> Column:
-    """Time of day of a timestamp as sortable ``HH:mm:ss.SSSSSS`` text."""
-    return F.date_format(_c(ts), CLOCK_SORTABLE)
-
-
 def clock_time(text: str | Column, pattern: str = CLOCK_12H) -> Column:
     """Parse 12-hour clock text (``3:25:00 PM``) into sortable clock text.
 

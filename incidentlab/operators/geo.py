@@ -72,6 +72,8 @@ def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                  F.count(F.when(~F.col("valid"), 1)).alias("n_bad"),
                  F.min(F.when(~F.col("valid"), F.col("name"))).alias("bad"))
             .collect())
+    if not rows:
+        return cell_size, True      # no polygons: an empty cell table
     rows.sort(key=lambda r: r["k"])
     if rows and rows[0]["n_bad"]:
         raise ValueError(f"polygon {rows[0]['bad']!r} has no valid ring")

@@ -60,6 +60,13 @@ def fit_indexers(df: DataFrame, features: list[str] | None = None, label: str |
     return feat, lab
 
 
+def max_bins_for(feature_indexer: StringIndexerModel, floor: int = DEFAULT_MAX_BINS) -> int:
+    """``maxBins`` a tree needs: the source setting, or the largest number of
+    levels of any indexed feature if that is larger (read from the fitted
+    dictionaries, no pass over the data)."""
+    return max([floor] + [len(labels) for labels in feature_indexer.labelsArray])
+
+
 def index_features(df: DataFrame, model: StringIndexerModel) -> DataFrame:
     return model.transform(df)
 

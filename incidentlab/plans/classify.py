@@ -54,11 +54,14 @@ def split(enriched: DataFrame, key: str | None = "Id", train_pct: int = 70,
 def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int = 3, seed: int = 42,
                parallelism: int = 1, handle_invalid: str = "error", grid: list[dict] | None = None,
                cv_metrics: bool = False, key: str | None = None, levels: DataFrame | None = None,
-               **overrides):
+               auto_max_bins: bool = True, **overrides):
     """Indexers on train ∪ test, pipeline, cross-validated fit on train.
 
     ``levels`` is the table to fit the indexers on when train ∪ test is
     already at hand as one table (the unsplit rows: one scan instead of two).
+    Trees need ``maxBins`` at least the largest category count; with
+    ``auto_max_bins`` the source setting (2089) is raised to that count only
+    when a feature has more levels (otherwise the fit would fail).
 
     Cross validation only chooses among parameter maps; the chosen map is then
     refitted on all of ``train``.  With a single map (the default grid) the
@@ -67,6 +70,8 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
     """
     levels = levels if levels is not None else combine(train, test)
     feat_idx, label_idx = M.fit_indexers(levels, handle_invalid=handle_invalid)
+    if kind in ("rf", "dt") and auto_max_bins and "maxBins" not in overrides:
+        overrides["maxBins"] = M.max_bins_for(feat_idx)
     pipeline = M.build_pipeline(kind, feat_idx, label_idx, seed=seed, **overrides)
     grid = grid or M.param_grid()
     if folds and folds > 1 and (len(grid) > 1 or cv_metrics):

@@ -102,3 +102,11 @@ def test_classifier_job_from_files(spark, tmp_dir):
     assert len([f for f in os.listdir(out) if f.startswith("part-")]) == 3
     back = spark.read.option("header", True).csv(out)
     assert back.columns == PREDICTION_COLUMNS and back.count() > 0
+
+
+def test_max_bins_grows_only_when_needed(spark):
+    many = spark.createDataFrame([(f"s{i}",) for i in range(2100)], "v string")
+    feat, _ = M.fit_indexers(many, features=["v"], label=None)
+    assert M.max_bins_for(feat) == 2100
+    few, _ = M.fit_indexers(many.limit(10), features=["v"], label=None)
+    assert M.max_bins_for(few) == 2089
