@@ -106,3 +106,30 @@ def test_enrichment_keeps_exactly_incidents_with_sun_and_weather(spark):
         .join(_daily(spark, SF_SMALL).select(F.col("date").alias("Date")), "Date")
     expected = inc.join(days, "Date", "left_semi").count()
     assert enriched(spark, SF_SMALL).count() == expected
+
+
+@SETTINGS
+@given(st.lists(st.lists(rings, min_size=1, max_size=2), min_size=1, max_size=3),
+       st.lists(st.tuples(coord, coord), min_size=50, max_size=150),
+       st.sampled_from([(0.5, None), (1.0, None), (3.0, None), (7.0, None), (1.0, 0)]))
+def test_grid_lookup_equals_first_match_ray_casting(spark, polygons, points, grid):
+    from incidentlab.operators.geo import with_neighborhood
+    cell, max_bytes = grid
+    wkts = ["POLYGON (" + ", ".join("(" + ", ".join(f"{x} {y}" for x, y in r) + ")" for r in poly)
+            + ")" for poly in polygons]
+    polys = spark.createDataFrame([(i, f"p{i}", w) for i, w in enumerate(wkts)],
+                                  "ord long, name string, polygon string")
+    pts = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)],
+                                "Id long, X double, Y double")
+    # degenerate random rings are invalid polygons: dropped, they contain nothing
+    opts = {"cell_size": cell, "on_error": "default"}
+    if max_bytes is not None:
+        opts["max_broadcast_bytes"] = max_bytes
+    got = {r.Id: r.Neighborhood for r in with_neighborhood(pts, polys, **opts).collect()}
+
+    def first(x, y):
+        for i, poly in enumerate(polygons):
+            if py_contains([list(r) for r in poly], x, y):
+                return f"p{i}"
+        return "SF"
+    assert got == {i: first(x, y) for i, (x, y) in enumerate(points)}
