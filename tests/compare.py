@@ -54,9 +54,11 @@ if __name__ == "__main__":
     sys.path.insert(0, ".")
     import __spark_entry__ as E
     from incidentlab.session import get_session
+    import json
     import os
-    spark = get_session("local[8]", shuffle_partitions=8,
-                        conf={"spark.sql.session.timeZone": os.environ.get("SESSION_TZ", "UTC")})
+    conf = {"spark.sql.session.timeZone": os.environ.get("SESSION_TZ", "UTC")}
+    conf.update(json.loads(os.environ.get("SPARK_CONF_JSON", "{}")))
+    spark = get_session("local[8]", shuffle_partitions=8, conf=conf)
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(E.queries())
     oracles = E.oracle_sql()
