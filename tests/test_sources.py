@@ -129,3 +129,20 @@ def test_spine_and_urls(spark):
     assert sun[0] == ("2003-01-01", "http://api.sunrise-sunset.org/json?lat=37.774900&lng=-122.419400&date=2003-01-01")
     wx = sorted(tuple(r) for r in weather_requests(d).collect())
     assert wx[2][1].endswith("/KSFO/2003/1/3/DailyHistory.html?format=1")
+
+
+def test_tables_cli_builds_both_day_tables(spark, tmp_dir):
+    from incidentlab.plans.jobs import main
+    from incidentlab.sources import testdata as td
+    from conftest import SF_SMALL
+    sun_in, wx_in = os.path.join(tmp_dir, "sun_in"), os.path.join(tmp_dir, "wx_in")
+    td.sun_responses(spark, SF_SMALL).write.json(sun_in)
+    td.weather_responses(spark, SF_SMALL).select("date", "body").write.json(wx_in)
+    sun_out, wx_out = os.path.join(tmp_dir, "sun_out"), os.path.join(tmp_dir, "wx_out")
+    main(["tables", "--sun-responses", sun_in, "--weather-responses", wx_in,
+          "--sun-out", sun_out, "--weather-out", wx_out])
+    sun = read_sun_times(spark, sun_out, layout="lines")
+    wx = read_daily_weather(spark, wx_out, layout="lines")
+    assert sun.count() == td.sun_times(spark, SF_SMALL).count() - 1   # one body is not JSON
+    assert wx.count() == td.sun_times(spark, SF_SMALL).count()        # one row per local date
+    assert wx.filter("temperatureC IS NULL OR weather IS NULL").count() == 0
