@@ -1,10 +1,11 @@
 """Entry A: enrich incidents, train a classifier with cross validation, score
 the held-out part, report and write predictions.
 
-Scale notes: the enriched table is checkpointed once into the shared
-checkpoint folder (lineage cut; survives executor loss) and both splits are
-filters over it.  Indexers take one pass over all rows.  Training passes are
-Spark ML's own (tree statistics / gradients aggregate per iteration).
+Scale notes: the enriched table is written once as parquet into the shared
+checkpoint folder (lineage cut; survives executor loss; later passes read
+only the columns they use) and both splits are filters over it.  Indexers
+take one pass over all rows.  Training passes are Spark ML's own (tree
+statistics / gradients aggregate per iteration).
 """
 
 from __future__ import annotations
@@ -12,10 +13,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-
-from ..operators import model as M
 from pyspark.sql import functions as F
 
+from ..operators import model as M
 from ..operators.split import combine, key_bucket, split_by_key, split_random
 from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES, PREDICTION_COLUMNS
 from ..session import write_table
@@ -83,7 +83,7 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
             fold_col = FOLD_COL
         return M.train(train, pipeline, folds=folds, seed=seed, grid=grid,
                        parallelism=parallelism, fold_col=fold_col)
-    return pipeline.copy(grid[0]).fit(train) if grid[0] else pipeline.fit(train)
+    return pipeline.fit(train, grid[0])
 
 
 def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 42,
@@ -108,4 +108,6 @@ def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 4
     run.importances = M.feature_importance(model, enriched.sparkSession)
     if hasattr(model, "avgMetrics"):
         run.best_params = M.best_params(model)
+    elif grid:
+        run.best_params = {p.name: v for p, v in grid[0].items()}
     return run
