@@ -12,9 +12,10 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.model import LABEL_INDEXED, accuracy
 from ..schemas import DEFAULT_ZONE, PREDICTION_COLUMNS
 from ..session import get_session, spread
 from ..sources.files import read_daily_weather, read_incidents, read_polygons, read_sun_times
@@ -40,12 +41,18 @@ def classifier_job(spark: SparkSession, incidents: str, sun: str, weather: str,
                                 read_polygons(spark, neighborhoods, layout), zone=zone)
     run = run_classifier(enriched, kind, folds=folds, seed=seed, key=key, evaluate=False,
                          cv_metrics=cv_metrics)
-    scored = run.predictions.persist(StorageLevel.MEMORY_AND_DISK)
-    from ..operators.model import accuracy
-    run.accuracy = accuracy(scored)
-    if out:
-        write_predictions(scored, out, files=files, mode=mode)
-    scored.unpersist()
+    if not out:
+        run.accuracy = accuracy(run.predictions)
+        return run
+    # accuracy is observed while the predictions are written: one scoring
+    # pass, nothing cached
+    obs = Observation("accuracy")
+    correct = (F.col("prediction") == F.col(LABEL_INDEXED)).cast("long")
+    observed = run.predictions.observe(obs, F.sum(correct).alias("correct"),
+                                       F.count(F.lit(1)).alias("n"))
+    write_predictions(observed, out, files=files, mode=mode)
+    m = obs.get
+    run.accuracy = (m["correct"] or 0) / m["n"] if m["n"] else float("nan")
     return run
 
 

@@ -102,6 +102,7 @@ def test_classifier_job_from_files(spark, tmp_dir):
     assert len([f for f in os.listdir(out) if f.startswith("part-")]) == 3
     back = spark.read.option("header", True).csv(out)
     assert back.columns == PREDICTION_COLUMNS and back.count() > 0
+    assert rep["accuracy"] == pytest.approx(M.accuracy(run.predictions))
 
 
 def test_max_bins_grows_only_when_needed(spark):
