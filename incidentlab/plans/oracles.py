@@ -314,6 +314,8 @@ def oracle_sql() -> dict[str, str]:
     q["nb_predictions"] = (nb + f" SELECT e.Id, {pred_cols}, lab.value AS PredictedCategory"
                            " FROM best b JOIN enriched e ON e.Id = b.Id"
                            f" JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.idx = b.prediction")
+    q["neighborhood_from_file"] = q["neighborhood"]
+    q["predictions_csv"] = q["nb_predictions"]
     q["nb_accuracy"] = (nb + " SELECT CAST(sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS DOUBLE)"
                         " / count(*) AS accuracy FROM best")
     return q

@@ -17,7 +17,8 @@ from ..operators.weather import daily_weather
 from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTION_COLUMNS, incident_schema
 from ..session import scratch_path, write_table
 from ..sources import testdata as td
-from ..sources.files import read_daily_weather, read_incidents, read_sun_times
+from ..sources.files import (read_daily_weather, read_incidents, read_polygons,
+                              read_predictions, read_sun_times)
 from ..sources.responses import parse_sun_responses, parse_weather_responses
 from ..sources.sinks import write_daily_table, write_predictions
 from .classify import feature_columns, run_classifier, split
@@ -156,6 +157,23 @@ def q_sun_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_sun_times(spark, path, layout="lines")
 
 
+def q_neighborhood_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The polygon lookup with polygons read from a JSON file (file order)."""
+    path = scratch_path(spark, "polygons-json")
+    td.polygons(spark).orderBy("ord").select("name", "polygon").coalesce(1).write.json(path)
+    polys = read_polygons(spark, path, layout="lines")
+    return (with_neighborhood(td.incidents(spark, sf), polys)
+            .select("Id", "X", "Y", "Neighborhood"))
+
+
+def q_predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Naive Bayes predictions through the CSV sink, read back typed."""
+    path = scratch_path(spark, "predictions-csv")
+    run = run_classifier(enriched(spark, sf), "nb", evaluate=False)
+    write_predictions(run.predictions, path, columns=["Id", *PREDICTION_COLUMNS])
+    return read_predictions(spark, path, with_id=True)
+
+
 def q_random_split(spark: SparkSession, sf: str) -> DataFrame:
     """Seeded 70/30 Bernoulli split of the enriched rows, labelled by part."""
     train, test = split_random(enriched(spark, sf).select("Id", "Category"), (0.7, 0.3), 42)
@@ -211,6 +229,8 @@ def queries() -> dict[str, Query]:
         "json_roundtrip": q_json_roundtrip,
         "sun_json_roundtrip": q_sun_json_roundtrip,
         "random_split": q_random_split,
+        "neighborhood_from_file": q_neighborhood_from_file,
+        "predictions_csv": q_predictions_csv,
         "nb_predictions": _predictions("nb"),
         "nb_accuracy": _accuracy("nb"),
         "dt_predictions": _predictions("dt"),

@@ -62,6 +62,20 @@ POLYGON_SCHEMA = T.StructType([
 ])
 
 
+_PREDICTION_TYPES = {
+    "Dates": T.TimestampNTZType(), "X": T.DoubleType(), "Y": T.DoubleType(),
+    "HourOfDay": T.IntegerType(), "Month": T.IntegerType(), "Year": T.IntegerType(),
+    "Weekend": T.IntegerType(),
+}
+
+
+def prediction_schema(with_id: bool = False) -> T.StructType:
+    """Types of the prediction CSV columns (text unless listed above)."""
+    fields = [T.StructField("Id", T.LongType())] if with_id else []
+    return T.StructType(fields + [T.StructField(c, _PREDICTION_TYPES.get(c, T.StringType()))
+                                  for c in PREDICTION_COLUMNS])
+
+
 def incident_schema(exclude: tuple[str, ...] = ("Id",)) -> T.StructType:
     """Incident CSV schema without the ``exclude`` columns (training files
     carry no ``Id``)."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import POLYGON_SCHEMA, SUN_SCHEMA, incident_schema
+from ..schemas import POLYGON_SCHEMA, SUN_SCHEMA, incident_schema, prediction_schema
 from ..session import spread
 
 # --- fixed values: text layout of timestamps in the incident files ---
@@ -65,3 +65,9 @@ def read_polygons(spark: SparkSession, path: str, layout: str = "array") -> Data
         F.struct(F.input_file_name().alias("file"),
                  F.monotonically_increasing_id().alias("pos")).alias("ord"),
         "name", "polygon")
+
+
+def read_predictions(spark: SparkSession, path: str, with_id: bool = False) -> DataFrame:
+    """Prediction CSV files (as written by ``sinks.write_predictions``), typed."""
+    return (spark.read.option("header", True).option("timestampNTZFormat", READ_TS_FORMAT)
+            .schema(prediction_schema(with_id)).csv(path))
