@@ -63,11 +63,12 @@ def test_day_night_on_numbers_and_null(spark):
 
 def test_local_to_utc_pst_with_dst(spark):
     data = [(dt.datetime(2015, 5, 13, 23, 53),), (dt.datetime(2015, 1, 13, 16, 0),),
-            (dt.datetime(2015, 3, 8, 2, 30),)]
+            (dt.datetime(2015, 3, 8, 2, 30),), (dt.datetime(2015, 11, 1, 1, 30),)]
     got = rows(spark, data, "t timestamp_ntz", local_to_utc("t"), date_text(local_to_utc("t")))
     assert got == [(dt.datetime(2015, 5, 14, 6, 53), "2015-05-14"),
                    (dt.datetime(2015, 1, 14, 0, 0), "2015-01-14"),
-                   (dt.datetime(2015, 3, 8, 10, 30), "2015-03-08")]
+                   (dt.datetime(2015, 3, 8, 10, 30), "2015-03-08"),       # DST gap
+                   (dt.datetime(2015, 11, 1, 8, 30), "2015-11-01")]       # overlap: earlier offset
 
 
 def test_local_to_utc_ignores_session_zone(spark):
