@@ -20,11 +20,12 @@ from ..functions.geometry import bounding_box, contains_point_sql, edges_valid,
 from ..schemas import DEFAULT_NEIGHBORHOOD
 from ..session import materialize, write_table
 
-DEFAULT_CELL_SIZE = 0.01            # degrees: about 1 km at city latitudes
+DEFAULT_CELL_SIZE = 0.0025          # degrees: about 250 m at city latitudes
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 _COARSEN_STEPS = 24                 # cell sizes tried: base * 2^0 .. 2^23
 _EDGE_BYTES = 4 * 8 + 16            # four doubles plus struct overhead
 _CANDIDATE_BYTES = 96               # ord, name, box and array headers
+EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
 def polygon_table(polygons: DataFrame, name: str = "name", wkt: str = "polygon",
@@ -83,32 +84,59 @@ def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
     return cell_size, False
 
 
+def _edge_touches_rect(e, rx0: Column, ry0: Column, rx1: Column, ry1: Column) -> Column:
+    """True when segment ``e`` meets the rectangle (boxes overlap and the
+    segment's line does not leave all four corners strictly on one side)."""
+    overlap = ((F.greatest(e["x1"], e["x2"]) >= rx0) & (F.least(e["x1"], e["x2"]) <= rx1)
+               & (F.greatest(e["y1"], e["y2"]) >= ry0) & (F.least(e["y1"], e["y2"]) <= ry1))
+
+    def side(px: Column, py: Column) -> Column:
+        return (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
+    corners = [side(rx0, ry0), side(rx1, ry0), side(rx0, ry1), side(rx1, ry1)]
+    above = corners[0] > 0
+    below = corners[0] < 0
+    for c in corners[1:]:
+        above, below = above & (c > 0), below & (c < 0)
+    return overlap & ~(above | below)
+
+
 def polygon_cells(poly: DataFrame, cell_size: float) -> DataFrame:
     """``(cx, cy, cands)``: per grid cell, the polygons that can contain a point
-    of it, sorted by ``ord``, each with only the edges that matter there.
-
-    A ray cast from a point of the cell towards +x can only cross (or the
-    point can only lie on) an edge whose y-range meets the cell's row and
-    which reaches the cell's left side.  Other edges are dropped, with a
-    margin far above rounding error, so every test keeps its exact outcome;
-    a polygon left without edges contains nothing in that cell.
+    of it, sorted by ``ord``.
+
+    Each candidate keeps only the edges that matter in the cell: a ray cast
+    from a point of the cell towards +x can only cross (or the point can only
+    lie on) an edge whose y-range meets the cell's row and which reaches the
+    cell's left side.  If none of those edges comes within a margin ``eps`` of
+    the cell, no boundary passes through it: containment is the same for
+    every point of the cell (rounding error is orders of magnitude below
+    ``eps``), so it is decided once at the cell centre -- the polygon is then
+    kept as ``full`` (no per-point test) or dropped.
     """
     def cell_range(lo: str, hi: str) -> Column:
         box = F.col("box")
         return F.sequence(F.floor(box[lo] / cell_size), F.floor(box[hi] / cell_size))
     eps = cell_size * 1e-6
-    x0 = F.col("cx") * cell_size - eps
-    y0, y1 = F.col("cy") * cell_size - eps, (F.col("cy") + 1) * cell_size + eps
-    near = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
-                    & (F.least(e["y1"], e["y2"]) <= y1)
-                    & (F.greatest(e["x1"], e["x2"]) >= x0))
+    cx, cy = F.col("cx"), F.col("cy")
+    rx0, rx1 = cx * cell_size - eps, (cx + 1) * cell_size + eps
+    ry0, ry1 = cy * cell_size - eps, (cy + 1) * cell_size + eps
+    near = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= ry0)
+                    & (F.least(e["y1"], e["y2"]) <= ry1)
+                    & (F.greatest(e["x1"], e["x2"]) >= rx0))
+    touched = F.exists("edges", lambda e: _edge_touches_rect(e, rx0, ry0, rx1, ry1))
+    center_inside = F.expr(contains_point_sql("edges", "__mx", "__my"))
     cells = (poly.select("*", F.explode(cell_range("min_x", "max_x")).alias("cx"))
              .select("*", F.explode(cell_range("min_y", "max_y")).alias("cy"))
              .withColumn("edges", near)
-             .filter(F.size("edges") > 0))
+             .withColumns({"__mx": (cx + 0.5) * cell_size, "__my": (cy + 0.5) * cell_size})
+             .withColumn("touched", touched)
+             .withColumn("full", ~F.col("touched") & center_inside)
+             .filter(F.col("touched") | F.col("full"))
+             .withColumn("edges", F.when(F.col("full"), F.array().cast(EDGES_TYPE))
+                         .otherwise(F.col("edges"))))
     # a cell's list is bounded by the polygon count, never by the incidents
     return cells.groupBy("cx", "cy").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "name", "box", "edges"))).alias("cands"))
+        F.array_sort(F.collect_list(F.struct("ord", "name", "full", "box", "edges"))).alias("cands"))
 
 
 def with_neighborhood(df: DataFrame, polygons: DataFrame, x: str = "X", y: str = "Y",
@@ -137,6 +165,6 @@ def with_neighborhood(df: DataFrame, polygons: DataFrame, x: str = "X", y: str =
                                "__cell_y": F.floor(F.col("__py") / size)})
     joined = keyed.join(cells, ["__cell_x", "__cell_y"], "left")
     test = contains_point_sql("c.edges", "__px", "__py", "c.box")
-    hit = F.expr(f"get(filter(cands, c -> {test}), 0).name")
+    hit = F.expr(f"get(filter(cands, c -> c.full OR {test}), 0).name")
     return (joined.withColumn(out, F.coalesce(hit, F.lit(default)))
             .drop("__cell_x", "__cell_y", "__px", "__py", "cands"))
