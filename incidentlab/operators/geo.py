@@ -60,26 +60,43 @@ def _cells_across(lo: str, hi: str, size: Column) -> Column:
 def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[float, bool]:
     """Smallest grid size ``cell_size * 2^k`` whose cell table is estimated under
-    ``max_bytes``; returns ``(size, fits)``.  One aggregate over the polygons
-    (a row per candidate size comes back), which also fails on an invalid
-    polygon left in the table."""
+    ``max_bytes``; returns ``(size, fits)``.  Also fails on an invalid polygon
+    left in the table.
+
+    The estimate is an upper bound of what ``polygon_cells`` keeps: one entry
+    per (cell, polygon), plus each edge in the cells of the rows it spans (one
+    extra row on each side for the margin) from the polygon's left side to
+    the edge's right end (one extra column).  Two aggregates over the
+    polygons and their edges, one row per candidate size each.
+    """
+    k = F.explode(F.sequence(F.lit(0), F.lit(_COARSEN_STEPS - 1))).alias("k")
     size = F.lit(cell_size) * F.pow(F.lit(2.0), F.col("k"))
-    per_poly = ((_cells_across("min_x", "max_x", size) * _cells_across("min_y", "max_y", size))
-                .cast("double") * (F.size("edges") * _EDGE_BYTES + _CANDIDATE_BYTES))
-    rows = (poly.select("name", "valid", "box", "edges",
-                        F.explode(F.sequence(F.lit(0), F.lit(_COARSEN_STEPS - 1))).alias("k"))
-            .groupBy("k")
-            .agg(F.sum(per_poly).alias("bytes"),
-                 F.count(F.when(~F.col("valid"), 1)).alias("n_bad"),
-                 F.min(F.when(~F.col("valid"), F.col("name"))).alias("bad"))
-            .collect())
-    if not rows:
+    box = F.col("box")
+
+    def span(lo: Column, hi: Column) -> Column:
+        return F.floor(hi / size) - F.floor(lo / size) + 1
+    per_poly = (poly.select("name", "valid", "box", k)
+                .groupBy("k")
+                .agg(F.sum((span(box["min_x"], box["max_x"]) * span(box["min_y"], box["max_y"]))
+                           .cast("double") * _CANDIDATE_BYTES).alias("bytes"),
+                     F.count(F.when(~F.col("valid"), 1)).alias("n_bad"),
+                     F.min(F.when(~F.col("valid"), F.col("name"))).alias("bad"))
+                .collect())
+    e = F.col("e")
+    per_edge = (poly.select("box", F.explode("edges").alias("e")).select("box", "e", k)
+                .groupBy("k")
+                .agg(F.sum(((span(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])) + 2)
+                            * (span(box["min_x"], F.greatest(e["x1"], e["x2"])) + 1))
+                           .cast("double") * _EDGE_BYTES).alias("bytes"))
+                .collect())
+    if not per_poly:
         return cell_size, True      # no polygons: an empty cell table
-    rows.sort(key=lambda r: r["k"])
-    if rows and rows[0]["n_bad"]:
-        raise ValueError(f"polygon {rows[0]['bad']!r} has no valid ring")
-    for r in rows:
-        if r["bytes"] is None or r["bytes"] <= max_bytes:
+    if per_poly[0]["n_bad"]:
+        raise ValueError(f"polygon {per_poly[0]['bad']!r} has no valid ring")
+    edge_bytes = {r["k"]: r["bytes"] or 0.0 for r in per_edge}
+    for r in sorted(per_poly, key=lambda r: r["k"]):
+        total = (r["bytes"] or 0.0) + edge_bytes.get(r["k"], 0.0)
+        if total <= max_bytes:
             return cell_size * (2 ** r["k"]), True
     return cell_size, False
 

@@ -89,3 +89,18 @@ def test_neighborhood_plan_is_broadcast_and_row_preserving(spark):
     assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert out.count() == inc.count()
+
+
+@pytest.mark.parametrize("polys,cell", [(POLYS, 0.5), (POLYS, 1.0), (POLYS, 3.0),
+                                        (td.TEST_POLYGONS, 0.0025), (td.TEST_POLYGONS, 0.001)])
+def test_grid_estimate_is_an_upper_bound(spark, polys, cell):
+    from incidentlab.operators import geo
+    from incidentlab.operators.geo import polygon_cells
+    poly = polygon_table(spark.createDataFrame(polys, "ord long, name string, polygon string"))
+    cells = polygon_cells(poly, cell)
+    actual = cells.select(F.explode("cands").alias("c")).agg(F.sum(
+        geo._CANDIDATE_BYTES + F.size("c.edges") * geo._EDGE_BYTES)).first()[0]
+    # a budget one byte below the real size must not accept this grid size
+    size, fits = choose_cell_size(poly, cell, max_bytes=actual - 1)
+    assert size != cell or not fits
+    assert choose_cell_size(poly, cell, max_bytes=10 ** 12) == (cell, True)
