@@ -2,13 +2,15 @@
 contains an incident's (X, Y), or a default name.
 
 Plan: polygons are cut into a uniform grid of cells over their bounding boxes.
-Each cell keeps the ordered list of polygons whose box touches it.  Incidents
-compute their cell and equi-join the cell table -- a left join, so every
-incident is kept and no incident is compared with polygons far away.  The cell
-table depends only on the polygons, never on the incidents; it is broadcast
-when its estimated size is under a limit (the grid is coarsened until it is),
-and otherwise shuffle-joined on the cell key, where AQE splits hot cells.
-No cross join, no per-row Python.
+Each cell keeps the ordered list of polygons that can contain a point of it,
+each with only the edges that matter there, or marked ``full`` when no edge
+comes near the cell.  Incidents compute their cell and equi-join the cell
+table -- a left join, so every incident is kept and no incident is compared
+with polygons far away.  The cell table depends only on the polygons, never on
+the incidents; it is broadcast when an upper bound of its size is under a
+limit (the grid is coarsened until it is), and otherwise written once and
+shuffle-joined on the cell key, where AQE splits hot cells.  No cross join, no
+per-row Python.
 """
 
 from __future__ import annotations
@@ -53,10 +55,6 @@ def polygon_table(polygons: DataFrame, name: str = "name", wkt: str = "polygon",
     return poly
 
 
-def _cells_across(lo: str, hi: str, size: Column) -> Column:
-    return F.floor(F.col("box")[hi] / size) - F.floor(F.col("box")[lo] / size) + 1
-
-
 def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[float, bool]:
     """Smallest grid size ``cell_size * 2^k`` whose cell table is estimated under
