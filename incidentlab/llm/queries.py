@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, html_extract, secret_scan, simhash, spiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,23 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan_documents(read(spark, sf, "documents"))
+
+
+def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf, "pages"))
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return spiece.encode_documents(read(spark, sf, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf, "documents"))
 
@@ -23,5 +40,8 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_html_extract": op6_html_extract,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
     }
