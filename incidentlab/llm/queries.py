@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, secret_scan, simhash, spiece
+from . import exact_dedup, html_extract, langid, quality, secret_scan, simhash, spiece, url_filter
 from .common import read
+from .url_seeds import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,15 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+         ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = spark.createDataFrame(labelled_urls(), "url string, blocked int")
+    return url_filter.judge(read(spark, sf, "pages"), url_filter.train(labelled), RULES)
+
+
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf, "documents"))
 
@@ -24,6 +35,17 @@ def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(read(spark, sf, "documents"))
+
+
+def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = langid.identify(docs, learn=part != 1, calibrate=part == 2)
+    return out.withColumn("held_out", part == 1)
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -40,8 +62,11 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_url_filter": op3_url_filter,
         "op4_secret_scan": op4_secret_scan,
         "op6_html_extract": op6_html_extract,
+        "op7_quality": op7_quality,
+        "op8_langid": op8_langid,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
     }
