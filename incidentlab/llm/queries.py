@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, quality, secret_scan, simhash, spiece, url_filter
+from . import (exact_dedup, html_extract, langid, mixing, quality, secret_scan, simhash, spiece, toxicity,
+               url_filter)
 from .common import read
 from .url_seeds import labelled_urls
 
@@ -18,6 +19,11 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return mixing.mix(docs, mixing.train(docs, read(spark, sf, "labels")))
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -31,6 +37,11 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan_documents(read(spark, sf, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, read(spark, sf, "labels")))
+
+
 def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf, "pages"))
 
@@ -62,8 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_mixing": op2_mixing,
         "op3_url_filter": op3_url_filter,
         "op4_secret_scan": op4_secret_scan,
+        "op5_toxicity": op5_toxicity,
         "op6_html_extract": op6_html_extract,
         "op7_quality": op7_quality,
         "op8_langid": op8_langid,

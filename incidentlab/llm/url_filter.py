@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAMS = (3, 4)
+GRAMS = (3, 4, 5)
 FEATURES = 1 << 16
 #: urls the model is fitted on at most (the labelled table is small by contract)
 MAX_LABELLED = 20_000
@@ -74,8 +74,11 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked")
     rows = (labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
             .where("label IS NOT NULL"))
     rows = features(rows, "url", "grams").orderBy(F.xxhash64("url"), "label").limit(MAX_LABELLED)
+    # both classes weigh the same
+    ones = rows.agg(F.avg("label")).first()[0] or 0.5
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / ones).otherwise(0.5 / max(1 - ones, 1e-9)))
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-    lr = LogisticRegression(regParam=0.002, maxIter=50, standardization=False)
+    lr = LogisticRegression(regParam=0.0005, maxIter=50, standardization=False, weightCol="weight")
     train_rows = hashed.transform(rows).coalesce(1).persist()
     try:
         return PipelineModel([hashed, lr.fit(train_rows)])

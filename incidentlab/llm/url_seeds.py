@@ -26,13 +26,13 @@ _PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}?page=2&ref=x", "/en/{n
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, blocked): every site under two fronts, endings and paths in turn, so
-    that neither tells the classes apart."""
+    """(url, blocked): every site under two fronts, endings, paths and numbers in
+    turn, so that none of these tells the classes apart."""
     out = []
     for blocked, names in ((1, BLOCKED), (0, ALLOWED)):
         for k, name in enumerate(names):
             for turn in (0, 1):
                 j = 2 * k + turn
                 host = f"{_FRONT[j % 4]}{name}.example.{('com', 'net', 'org')[j % 3]}"
-                out.append((f"https://{host}{_PATHS[(j + k) % 6].format(n=17 * j + 3)}", blocked))
+                out.append((f"https://{host}{_PATHS[(j + k) % 6].format(n=j % 12 * 811 + 7)}", blocked))
     return out
