@@ -15,7 +15,7 @@ per-row Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounding_box, contains_point_sql, edges_valid, wkt_edges
@@ -24,6 +24,7 @@ from ..session import materialize, write_table
 
 DEFAULT_CELL_SIZE = 0.0025          # degrees: about 250 m at city latitudes
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_COORDINATE = 1e6                # beyond, a coordinate is taken for an error
 _COARSEN_STEPS = 24                 # cell sizes tried: base * 2^0 .. 2^23
 _EDGE_BYTES = 4 * 8 + 16            # four doubles plus struct overhead
 _CANDIDATE_BYTES = 96               # ord, name, box and array headers
@@ -58,8 +59,9 @@ def polygon_table(polygons: DataFrame, name: str = "name", wkt: str = "polygon",
 def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[float, bool]:
     """Smallest grid size ``cell_size * 2^k`` whose cell table is estimated under
-    ``max_bytes``; returns ``(size, fits)``.  Also fails on an invalid polygon
-    left in the table.
+    ``max_bytes``; returns ``(size, fits)``.  When none fits, the coarsest is
+    returned, so the cell table stays as small as it can be.  Also fails on an
+    invalid polygon left in the table or one with a coordinate out of range.
 
     The estimate is an upper bound of what ``polygon_cells`` keeps: one entry
     per (cell, polygon), plus each edge in the cells of the rows it spans (one
@@ -73,6 +75,11 @@ def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
 
     def span(lo: Column, hi: Column) -> Column:
         return F.floor(hi / size) - F.floor(lo / size) + 1
+    if not poly.isEmpty():
+        far = poly.filter(F.greatest(*[F.abs(box[c]) for c in ("min_x", "max_x", "min_y", "max_y")])
+                          > MAX_COORDINATE).select("name").first()
+        if far:
+            raise ValueError(f"polygon {far['name']!r} has a coordinate beyond {MAX_COORDINATE}")
     per_poly = (poly.select("name", "valid", "box", k)
                 .groupBy("k")
                 .agg(F.sum((span(box["min_x"], box["max_x"]) * span(box["min_y"], box["max_y"]))
@@ -96,7 +103,7 @@ def choose_cell_size(poly: DataFrame, cell_size: float = DEFAULT_CELL_SIZE,
         total = (r["bytes"] or 0.0) + edge_bytes.get(r["k"], 0.0)
         if total <= max_bytes:
             return cell_size * (2 ** r["k"]), True
-    return cell_size, False
+    return cell_size * 2 ** (_COARSEN_STEPS - 1), False
 
 
 def _edge_touches_rect(e, rx0: Column, ry0: Column, rx1: Column, ry1: Column) -> Column:
@@ -149,6 +156,10 @@ def polygon_cells(poly: DataFrame, cell_size: float) -> DataFrame:
              .filter(F.col("touched") | F.col("full"))
              .withColumn("edges", F.when(F.col("full"), F.array().cast(EDGES_TYPE))
                          .otherwise(F.col("edges"))))
+    # once a cell lies wholly inside a polygon, later ones cannot be its first hit
+    first_full = F.min(F.when(F.col("full"), F.col("ord"))).over(Window.partitionBy("cx", "cy"))
+    cells = (cells.withColumn("__first_full", first_full)
+             .where(F.col("__first_full").isNull() | (F.col("ord") <= F.col("__first_full"))))
     # a cell's list is bounded by the polygon count, never by the incidents
     return cells.groupBy("cx", "cy").agg(
         F.array_sort(F.collect_list(F.struct("ord", "name", "full", "box", "edges"))).alias("cands"))
@@ -176,8 +187,10 @@ def with_neighborhood(df: DataFrame, polygons: DataFrame, x: str = "X", y: str =
         # afresh and AQE's skew rule can split a hot cell of the incidents
         cells = write_table(cells, "polygon-cells")
     keyed = df.withColumns({"__px": F.col(x).cast("double"), "__py": F.col(y).cast("double")})
-    keyed = keyed.withColumns({"__cell_x": F.floor(F.col("__px") / size),
-                               "__cell_y": F.floor(F.col("__py") / size)})
+    # a coordinate that is no finite number lies in no cell
+    def cell(p: str) -> Column:
+        return F.when(F.abs(p) <= MAX_COORDINATE, F.floor(F.col(p) / size))
+    keyed = keyed.withColumns({"__cell_x": cell("__px"), "__cell_y": cell("__py")})
     joined = keyed.join(cells, ["__cell_x", "__cell_y"], "left")
     test = contains_point_sql("c.edges", "__px", "__py", "c.box")
     hit = F.expr(f"get(filter(cands, c -> c.full OR {test}), 0).name")

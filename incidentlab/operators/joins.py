@@ -1,57 +1,31 @@
 """Joins of incidents with per-day tables (sun times, daily weather).
 
 A per-day table holds one row per calendar date, so it stays small however
-many incidents there are.  It is broadcast only after an explicit check that
-it has at most ``max_rows`` rows; a larger table goes through an ordinary
-shuffle join, where AQE splits hot dates.
+many incidents there are.  No broadcast is forced: Spark knows the size of a
+table read from files when it plans, and that of a derived one when its stage
+has run (AQE), and broadcasts the side if it is under
+``spark.sql.autoBroadcastJoinThreshold``; a larger side goes through an
+ordinary shuffle join, where AQE splits hot dates.  Building the plan runs no
+job and keeps nothing cached.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..session import write_table
 
-# A day table of 100,000 rows covers 270 years; at a few dozen bytes a row the
-# broadcast stays in the low megabytes.
-DEFAULT_MAX_BROADCAST_ROWS = 100_000
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Reads at most
-    ``max_rows + 1`` rows, never the whole table."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      cache: bool = True, large: str = "table") -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small.
-
-    With ``cache`` the rows read by the check are kept (memory, then disk) so
-    the join does not compute a derived table a second time; lost cached
-    blocks are recomputed from lineage.  A table that turns out large is
-    released again and, with ``large="table"``, written once as parquet to
-    the checkpoint folder: the join then shuffles both sides afresh, which is
-    what lets AQE split a hot key of the other side (``large="as_is"`` keeps
-    the plan as given).
-    """
-    if cache:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if row_count_at_most(df, max_rows):
-        return F.broadcast(df)
-    if cache:
-        df.unpersist()
-    return write_table(df, "large-side") if large == "table" else df
-
-
-def _date_keyed(table: DataFrame, key: str) -> DataFrame:
-    # one key column, named like the incident side; any casing of "date" accepted
+def _day_table(table: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """The key and the wanted columns (any casing), named as the incident side
+    expects; ``columns`` maps a lower-cased name to the output name."""
+    named = {key.lower(): key, **columns}
+    found = {}
     for c in table.columns:
-        if c.lower() == key.lower() and c != key:
-            table = table.withColumnRenamed(c, key)
-    return table
+        out = named.get(c.lower())
+        if out and out not in found:
+            found[out] = table[c].alias(out)
+    # a derived table may already lie by date, which would keep AQE from splitting
+    # a hot date of the other side; this small exchange sets the join free
+    return table.select(*found.values()).hint("rebalance")
 
 
 def assert_unique_dates(table: DataFrame, key: str = "date") -> None:
@@ -62,25 +36,23 @@ def assert_unique_dates(table: DataFrame, key: str = "date") -> None:
 
 
 def with_sun_times(df: DataFrame, sun: DataFrame, date_col: str = "Date", how: str = "inner",
-                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                    check_unique: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Attach ``sunrise``/``sunset`` (and ``extra`` columns) of the incident's
     (UTC) date.  Inner by default: incidents without a sun row are dropped.
     """
-    wanted = {date_col.lower(), "sunrise", "sunset", *(e.lower() for e in extra)}
-    sun = _date_keyed(sun.select(*[c for c in sun.columns if c.lower() in wanted]), date_col)
+    sun = _day_table(sun, date_col, {"sunrise": "sunrise", "sunset": "sunset", **{e.lower(): e for e in extra}})
     if check_unique:
         assert_unique_dates(sun, date_col)
-    return df.join(bounded_broadcast(sun, max_broadcast_rows), date_col, how)
+    return df.join(sun, date_col, how)
 
 
 def with_weather(df: DataFrame, weather: DataFrame, date_col: str = "Date", how: str = "inner",
-                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                  check_unique: bool = False) -> DataFrame:
-    """Attach ``temperatureC`` and ``weather`` of the incident's date (inner by default)."""
-    weather = _date_keyed(weather, date_col)
-    if "temp" in weather.columns and "temperatureC" not in weather.columns:
-        weather = weather.withColumnRenamed("temp", "temperatureC")
+    """Attach ``temperatureC`` (also accepted as ``temp``) and ``weather`` of the
+    incident's date (inner by default)."""
+    named = {c.lower() for c in weather.columns}
+    degrees = "temperaturec" if "temperaturec" in named else "temp"
+    weather = _day_table(weather, date_col, {degrees: "temperatureC", "weather": "weather"})
     if check_unique:
         assert_unique_dates(weather, date_col)
-    return df.join(bounded_broadcast(weather, max_broadcast_rows), date_col, how)
+    return df.join(weather, date_col, how)

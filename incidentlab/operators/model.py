@@ -1,20 +1,22 @@
 """Spark ML wiring for the four multiclass classifiers.
 
 Indexers are fitted once, in a single pass over train and test together, for
-all categorical features and the label (one multi-column ``StringIndexer``),
-then split into a feature indexer and a label indexer so the pipeline stages
-match ``[feature indexer, label indexer, assembler, classifier, inverse label]``.
+all categorical features and the label: one pre-aggregated count of (feature,
+value) pairs and a rank per feature.  Each column's own nulls are left out of
+its dictionary, whatever the other columns hold.  The pipeline stages are
+``[feature indexer, label indexer, assembler, classifier, inverse label]``.
 """
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import (CATEGORY_FEATURES, DEFAULT_MAX_BINS, FEATURES_COL, INDEXED_SUFFIX,
@@ -51,18 +53,45 @@ def fit_indexers(df: DataFrame, features: list[str] | None = None, label: str |
     """
     features = list(features or CATEGORY_FEATURES)
     cols = features + ([label] if label else [])
-    model = StringIndexer(inputCols=cols, outputCols=indexed(cols),
-                          handleInvalid=handle_invalid).fit(df.select(*cols))
-    labels = model.labelsArray
-    feat = StringIndexerModel.from_arrays_of_labels(
-        labels[:len(features)], inputCols=features, outputCols=indexed(features),
-        handleInvalid=handle_invalid)
-    lab = None
-    if label:
-        lab = StringIndexerModel.from_arrays_of_labels(
-            [labels[-1]], inputCols=[label], outputCols=indexed([label]),
-            handleInvalid=handle_invalid)
-    return feat, lab
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    # what the indexer models hold: the levels, not the rows
+    for r in frequency_table(df, cols).orderBy("feature", "idx").toLocalIterator():
+        found[r.feature].append(r.value)
+    feat = _indexer([found[c] for c in features], features, handle_invalid)
+    return feat, _indexer([found[label]], [label], handle_invalid) if label else None
+
+
+def _indexer(levels: list[list[str]], cols: list[str], handle_invalid: str) -> StringIndexerModel:
+    """An indexer with the given levels per column.
+
+    ``from_arrays_of_labels`` fills the shorter dictionaries up with null levels to
+    the length of the longest, so the arrays are handed over one by one.
+    """
+    gateway = SparkContext._active_spark_context._gateway
+    text = gateway.jvm.java.lang.String
+    arrays = gateway.new_array(text, len(levels), 0)
+    for k, column in enumerate(levels):
+        one = gateway.new_array(text, len(column))
+        for i, level in enumerate(column):
+            one[i] = level
+        arrays[k] = one
+    model = StringIndexerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.StringIndexerModel", arrays)
+    return model.setInputCols(cols).setOutputCols(indexed(cols)).setHandleInvalid(handle_invalid)
+
+
+def frequency_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(feature, value, idx)``: the levels of each column by falling count,
+    equal counts alphabetically; nulls are no level.
+
+    All columns are counted in one pass, pre-aggregated before the shuffle; the
+    ranking sorts levels, never rows.
+    """
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    counts = (df.selectExpr(f"stack({len(cols)}, {pairs}) AS (feature, value)")
+              .where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    rank = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "value"))
+    return counts.select("feature", "value", (rank - 1).cast("double").alias("idx"))
 
 
 def max_bins_for(feature_indexer: StringIndexerModel, floor: int = DEFAULT_MAX_BINS) -> int:
@@ -72,8 +101,13 @@ def max_bins_for(feature_indexer: StringIndexerModel, floor: int = DEFAULT_MAX_B
     return max([floor] + [len(labels) for labels in feature_indexer.labelsArray])
 
 
-def index_features(df: DataFrame, model: StringIndexerModel) -> DataFrame:
-    return model.transform(df)
+def check_max_bins(feature_indexer: StringIndexerModel, max_bins: int) -> None:
+    """Fail when a feature has more levels than a tree has bins, naming the
+    feature and the value needed."""
+    for col, labels in zip(feature_indexer.getInputCols(), feature_indexer.labelsArray):
+        if len(labels) > max_bins:
+            raise ValueError(f"column {col!r} has {len(labels)} levels: maxBins must be at least "
+                             f"{len(labels)}, it is {max_bins} (set maxBins, or auto_max_bins=True)")
 
 
 def assembler(numeric: bool = True, features: list[str] | None = None) -> VectorAssembler:
@@ -170,8 +204,15 @@ def feature_importance(model, spark=None) -> DataFrame | None:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def cv_metrics(model: CrossValidatorModel, spark: SparkSession) -> DataFrame:
+    """``(map, params, mean_accuracy)``: one row per parameter map, in grid order."""
+    rows = [(k, ",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(a))
+            for k, (m, a) in enumerate(zip(model.getEstimatorParamMaps(), model.avgMetrics))]
+    return spark.createDataFrame(rows, "map int, params string, mean_accuracy double")
+
+
 def best_params(model: CrossValidatorModel) -> dict[str, object]:
-    """Parameter map with the highest mean cross-validated metric."""
+    """Parameter map with the highest mean cross-validated metric (the first on ties)."""
     maps, metrics = model.getEstimatorParamMaps(), model.avgMetrics
     best = max(zip(maps, metrics), key=lambda p: p[1])[0]
     return {p.name: v for p, v in best.items()}

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def split_random(df: DataFrame, weights: tuple[float, ...] = (0.7, 0.3),
-                 seed: int = 42) -> list[DataFrame]:
-    """Seeded Bernoulli split (per partition; no shuffle)."""
-    return df.randomSplit(list(weights), seed)
+                 seed: int = 42, key: str | None = None) -> list[DataFrame]:
+    """Seeded random split that depends on the rows alone, never on how they are
+    spread over files, partitions or cores.
+
+    A row's draw is a hash of the seed and its ``key``; without a key, of the seed
+    and all its columns, equal rows being told apart by a running number.
+    """
+    if key:
+        text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+        number = F.lit("")
+    else:
+        text = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+        df = df.withColumn("__row", text)
+        df = df.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1))))
+        text, number = F.col("__row"), F.concat(F.lit("#"), F.col("__copy").cast("string"))
+    draw = key_bucket(F.concat(F.lit(f"{seed}:"), text, number), 1 << 32) / float(1 << 32)
+    total, low, parts = sum(weights), 0.0, []
+    for k, w in enumerate(weights):
+        high = low + w / total
+        part = df.filter((draw >= low) & (draw < high) if k < len(weights) - 1 else draw >= low)
+        parts.append(part.drop("__row", "__copy"))
+        low = high
+    return parts
 
 
 def key_bucket(key: str | Column, buckets: int = 100) -> Column:
@@ -20,8 +40,9 @@ def key_bucket(key: str | Column, buckets: int = 100) -> Column:
 
 
 def split_by_key(df: DataFrame, key: str, train_pct: int = 70) -> tuple[DataFrame, DataFrame]:
-    """Reproducible split: a row is in train when its key bucket < ``train_pct``."""
-    in_train = key_bucket(key) < train_pct
+    """Reproducible split: a row is in train when its key bucket < ``train_pct``;
+    rows without a key count as bucket 0."""
+    in_train = F.coalesce(key_bucket(key), F.lit(0)) < train_pct
     return df.filter(in_train), df.filter(~in_train)
 
 

@@ -5,7 +5,8 @@ Scale notes: the enriched table is written once as parquet into the shared
 checkpoint folder (lineage cut; survives executor loss; later passes read
 only the columns they use) and both splits are filters over it.  Indexers
 take one pass over all rows.  Training passes are Spark ML's own (tree
-statistics / gradients aggregate per iteration).
+statistics / gradients aggregate per iteration).  The written table belongs to
+the run: ``ClassifierRun.release()`` deletes it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..operators import model as M
 from ..operators.split import combine, key_bucket, split_by_key, split_random
-from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES, PREDICTION_COLUMNS
-from ..session import write_table
+from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES
+from ..session import release_tables, tables_written, write_table
 
 FOLD_COL = "__fold"
 
@@ -31,6 +32,16 @@ class ClassifierRun:
     accuracy: float | None = None
     importances: DataFrame | None = None
     best_params: dict = field(default_factory=dict)
+    avg_metrics: list = field(default_factory=list)
+    _mark: tuple | None = None
+
+    def release(self) -> None:
+        """Delete the enriched table of this run; predictions can no longer be
+        computed afterwards."""
+        if self._mark:
+            spark, since = self._mark
+            release_tables(spark, since)
+            self._mark = None
 
 
 def feature_columns(df: DataFrame) -> DataFrame:
@@ -38,43 +49,39 @@ def feature_columns(df: DataFrame) -> DataFrame:
     return df.select(*(NUMERIC_FEATURES + CATEGORY_FEATURES))
 
 
-def prediction_columns(df: DataFrame) -> DataFrame:
-    return df.select(*PREDICTION_COLUMNS)
-
-
 def split(enriched: DataFrame, key: str | None = "Id", train_pct: int = 70,
           seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Keyed (reproducible) split when ``key`` is given, else a seeded random one."""
     if key:
         return split_by_key(enriched, key, train_pct)
+    # drawn from a row's own columns, so a written table may lie in any files
     tr, te = split_random(enriched, (train_pct / 100, 1 - train_pct / 100), seed)
     return tr, te
 
 
 def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int = 3, seed: int = 42,
                parallelism: int = 1, handle_invalid: str = "error", grid: list[dict] | None = None,
-               cv_metrics: bool = False, key: str | None = None, levels: DataFrame | None = None,
-               auto_max_bins: bool = True, **overrides):
+               key: str | None = None, auto_max_bins: bool = False, **overrides):
     """Indexers on train ∪ test, pipeline, cross-validated fit on train.
 
-    ``levels`` is the table to fit the indexers on when train ∪ test is
-    already at hand as one table (the unsplit rows: one scan instead of two).
-    Trees need ``maxBins`` at least the largest category count; with
-    ``auto_max_bins`` the source setting (2089) is raised to that count only
-    when a feature has more levels (otherwise the fit would fail).
+    Trees need ``maxBins`` at least the largest category count.  A feature with
+    more levels fails with an error that names it; ``auto_max_bins`` raises the
+    setting instead, which also changes the numeric features' thresholds.
 
-    Cross validation only chooses among parameter maps; the chosen map is then
-    refitted on all of ``train``.  With a single map (the default grid) the
-    fold fits cannot change that model, so they run only when ``cv_metrics``
-    asks for the fold accuracies.
+    Every map of ``grid`` (one, the settings as they are, by default) is fitted
+    and evaluated on ``folds`` folds, and the best is refitted on all of
+    ``train``.  ``grid`` may also be a function of the pipeline's classifier.
+    ``folds`` below 2 leaves cross validation out.
     """
-    levels = levels if levels is not None else combine(train, test)
+    levels = combine(train, test) if test is not None else train
     feat_idx, label_idx = M.fit_indexers(levels, handle_invalid=handle_invalid)
-    if kind in ("rf", "dt") and auto_max_bins and "maxBins" not in overrides:
-        overrides["maxBins"] = M.max_bins_for(feat_idx)
+    if kind in ("rf", "dt"):
+        if auto_max_bins and "maxBins" not in overrides:
+            overrides["maxBins"] = M.max_bins_for(feat_idx)
+        M.check_max_bins(feat_idx, overrides.get("maxBins", M.DEFAULT_MAX_BINS))
     pipeline = M.build_pipeline(kind, feat_idx, label_idx, seed=seed, **overrides)
-    grid = grid or M.param_grid()
-    if folds and folds > 1 and (len(grid) > 1 or cv_metrics):
+    grid = (grid(pipeline.getStages()[3]) if callable(grid) else grid) or M.param_grid()
+    if folds and folds > 1:
         fold_col = None
         if key:
             # folds fixed by a hash of the key (independent of the 70/30 buckets)
@@ -89,25 +96,26 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
 def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 42,
                    key: str | None = "Id", train_pct: int = 70, checkpoint: bool = True,
                    evaluate: bool = True, parallelism: int = 1, grid: list[dict] | None = None,
-                   cv_metrics: bool = False, **overrides) -> ClassifierRun:
+                   **overrides) -> ClassifierRun:
     """The whole classifier job over enriched incidents.
 
     With ``checkpoint`` the enriched rows are written once as parquet in the
     shared checkpoint folder; the indexer pass, every training pass and the
     scoring pass read that table.
     """
+    mark = (enriched.sparkSession, tables_written())
     data = write_table(enriched, "enriched") if checkpoint else enriched
     train, test = split(data, key, train_pct, seed)
-    # train ∪ test is the unsplit table: fit the dictionaries on it in one scan
     model = fit_models(train, test, kind, folds=folds, seed=seed, parallelism=parallelism,
-                       grid=grid, cv_metrics=cv_metrics, key=key, levels=data, **overrides)
+                       grid=grid, key=key, **overrides)
     scored = M.score(model, test)
-    run = ClassifierRun(kind=kind, model=model, predictions=scored)
+    run = ClassifierRun(kind=kind, model=model, predictions=scored, _mark=mark if checkpoint else None)
     if evaluate:
         run.accuracy = M.accuracy(scored)
     run.importances = M.feature_importance(model, enriched.sparkSession)
     if hasattr(model, "avgMetrics"):
         run.best_params = M.best_params(model)
-    elif grid:
+        run.avg_metrics = list(model.avgMetrics)
+    elif grid and not callable(grid):
         run.best_params = {p.name: v for p, v in grid[0].items()}
     return run

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import re
 
-from ..schemas import CATEGORY_FEATURES, LABEL_COL, NUMERIC_FEATURES, PREDICTION_COLUMNS
+from ..schemas import CATEGORY_FEATURES, LABEL_COL, NUMERIC_FEATURES, PREDICTION_COLUMNS, incident_schema
 from ..sources import testdata as td
 from ..sources.spine import SF_LAT, SF_LNG, SUN_URL_TEMPLATE, WEATHER_URL_TEMPLATE
 from ..sources.testdata import TEST_POLYGONS
 
 INCIDENTS = r"""
 incidents AS (
-  SELECT event_id AS Id, date_trunc('second', ts) AS Dates, event_type AS Category,
+  SELECT event_id AS Id, ts AS Dates, event_type AS Category,
          dayname(ts) AS DayOfWeek, n_name AS PdDistrict,
          CASE event_id % 4
            WHEN 0 THEN CAST((user_id % 50) * 100 AS VARCHAR) || ' Block of ' || n_name || ' ST'
@@ -34,6 +34,8 @@ timed0 AS (
   FROM incidents),
 timed AS (SELECT *, strftime("Timestamp", '%Y-%m-%d') AS Date FROM timed0)"""
 
+DESCRIPT = """'"' || Category || '", no. ' || CAST(Id AS VARCHAR)"""
+RESOLUTION = "CASE WHEN Id % 3 <> 0 THEN 'NONE, ' || DayOfWeek END"
 WEEKEND = "CAST(CASE WHEN DayOfWeek IN ('Friday', 'Saturday', 'Sunday') THEN 1 ELSE 0 END AS INTEGER)"
 
 _BLOCK = r"regexp_extract(Address, '\d{1,4} Block of (.+)', 1)"
@@ -210,6 +212,7 @@ wdaily AS (
 
 KEY_BUCKET = "((('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8))::BIGINT) % 100)"
 IN_TRAIN = KEY_BUCKET.format(k="Id") + " < 70"
+FOLD = "((('0x' || substr(md5('fold:' || CAST(Id AS VARCHAR)), 1, 8))::BIGINT) % 3)"
 INDEXED_COLS = CATEGORY_FEATURES + [LABEL_COL]
 
 
@@ -228,8 +231,9 @@ freq AS (
   FROM level_counts)"""
 
 
-def _naive_bayes_ctes() -> str:
-    """Closed form of multinomial naive Bayes (smoothing 1) over indexed features.
+def _naive_bayes_ctes(smoothing: float = 1.0, fit: str = "in_train", apply: str = "NOT v.in_train") -> str:
+    """Closed form of multinomial naive Bayes over indexed features: fitted on
+    the rows where ``fit`` holds, applied to those where ``apply`` does.
 
     pi_c = ln(n_c + 1) - ln(N + C);  theta_cj = ln(S_cj + 1) - ln(sum_j S_cj + D);
     prediction = argmax_c pi_c + sum_j x_j theta_cj, ties to the smaller index.
@@ -241,27 +245,42 @@ def _naive_bayes_ctes() -> str:
     xs = ", ".join(f"i{j}.idx AS x{j}" for j in range(len(feats)))
     sums = ", ".join(f"sum(x{j}) AS s{j}" for j in range(len(feats)))
     total = " + ".join(f"s{j}" for j in range(len(feats)))
-    thetas = ", ".join(f"ln(s{j} + 1.0) - ln({total} + {float(len(feats))}) AS t{j}"
+    thetas = ", ".join(f"ln(s{j} + {smoothing}) - ln({total} + {smoothing * len(feats)}) AS t{j}"
                        for j in range(len(feats)))
     dot = " + ".join(f"v.x{j} * p.t{j}" for j in range(len(feats)))
     return f""",
 vec AS (
-  SELECT e.Id, {IN_TRAIN.replace("Id", "e.Id")} AS in_train, lab.idx AS y, {xs}
+  SELECT e.Id, {IN_TRAIN.replace("Id", "e.Id")} AS in_train,
+         {FOLD.replace("Id", "e.Id")} AS fold, lab.idx AS y, {xs}
   FROM enriched e {joins}
   JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.value = e.{LABEL_COL}),
-cls AS (SELECT y, count(*) AS n, {sums} FROM vec WHERE in_train GROUP BY y),
+cls AS (SELECT y, count(*) AS n, {sums} FROM vec WHERE {fit} GROUP BY y),
 tot AS (SELECT sum(n) AS big_n, count(*) AS big_c FROM cls),
 params AS (
-  SELECT y, ln(n + 1.0) - ln(big_n + big_c * 1.0) AS pi, {thetas} FROM cls, tot),
+  SELECT y, ln(n + {smoothing}) - ln(big_n + big_c * {smoothing}) AS pi, {thetas} FROM cls, tot),
 scores AS (
   SELECT v.Id, v.y AS label, p.y AS cls, p.pi + ({dot}) AS score
-  FROM vec v, params p WHERE NOT v.in_train),
+  FROM vec v, params p WHERE {apply}),
 best AS (
   SELECT Id, label, cls AS prediction FROM (
     SELECT *, row_number() OVER (PARTITION BY Id ORDER BY score DESC, cls) AS rk FROM scores)
   WHERE rk = 1)"""
 
 
+def _nb_cross_validation() -> str:
+    """(smoothing, mean_accuracy) of the two-map grid over three folds."""
+    runs = []
+    for smoothing in (1.0, 10.0):
+        for fold in range(3):
+            nb = _naive_bayes_ctes(smoothing, f"in_train AND fold <> {fold}", f"v.in_train AND v.fold = {fold}")
+            runs.append(f"""SELECT {smoothing} AS smoothing, acc FROM (
+  WITH {nb.strip().lstrip(",")}
+  SELECT CAST(sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS acc FROM best)""")
+    return ("WITH " + ENRICHED.replace("enriched AS (", "enriched AS MATERIALIZED (", 1) + FREQUENCY
+            + ",\nruns AS (" + " UNION ALL ".join(runs) + "),\n"
+            "maps AS (SELECT smoothing, avg(acc) AS mean_accuracy FROM runs GROUP BY smoothing) ")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["time_features"] = ("WITH " + INCIDENTS + "," + TIMED +
@@ -305,8 +324,27 @@ def oracle_sql() -> dict[str, str]:
     q["combined_count"] = "WITH " + ENRICHED + " SELECT count(*) AS n FROM enriched"
     q["frequency_index"] = "WITH " + ENRICHED + FREQUENCY + " SELECT feature, value, idx FROM freq"
     q["csv_roundtrip"] = ("WITH " + INCIDENTS +
-                          " SELECT Id, Dates, Category, DayOfWeek, PdDistrict, Address, X, Y"
-                          " FROM incidents")
+                          f" SELECT Id, Dates, Category, {DESCRIPT} AS Descript, DayOfWeek, PdDistrict,"
+                          f" {RESOLUTION} AS Resolution, Address, X, Y FROM incidents")
+    rules = {"Descript": f"{DESCRIPT} AS Descript", "Resolution": f"{RESOLUTION} AS Resolution"}
+    training = ", ".join(rules.get(f.name, f.name) for f in incident_schema())
+    q["training_csv"] = "WITH " + INCIDENTS + f" SELECT {training} FROM incidents"
+    q["sun_json_array"] = "WITH " + SUN + " SELECT date, sunrise, sunset FROM sun"
+    q["weather_json_array"] = "WITH " + DAILY_WEATHER + " SELECT date, temperatureC, weather FROM daily"
+    q["neighborhood_json_array"] = q["neighborhood"]
+    q["key_split_with_nulls"] = (
+        "WITH " + INCIDENTS + ", keyed AS (SELECT Id, CASE WHEN Id % 7 <> 0 THEN CAST(Id AS VARCHAR) END AS k FROM incidents)"
+        " SELECT Id, k, CASE WHEN coalesce(" + KEY_BUCKET.format(k="k") + ", 0) < 70"
+        " THEN 'train' ELSE 'test' END AS part FROM keyed")
+    q["random_split"] = ("WITH " + ENRICHED + " SELECT Id, Category, CASE WHEN"
+                         " (('0x' || substr(md5('42:' || CAST(Id AS VARCHAR)), 1, 8))::BIGINT) / 4294967296.0 < 0.7"
+                         " THEN 'train' ELSE 'test' END AS part FROM enriched")
+    q["random_split_rows"] = ("WITH " + ENRICHED + " SELECT Category, DayOfWeek, PdDistrict, count(*) AS n"
+                              " FROM enriched GROUP BY ALL")
+    q["nb_cv_metrics"] = (_nb_cross_validation() + "SELECT 'smoothing=' || CAST(smoothing AS VARCHAR) AS params,"
+                          " round(mean_accuracy, 9) AS mean_accuracy FROM maps")
+    q["nb_best_params"] = (_nb_cross_validation() + "SELECT 'smoothing' AS param, CAST(smoothing AS DOUBLE) AS value"
+                           " FROM maps ORDER BY mean_accuracy DESC, smoothing LIMIT 1")
     q["json_roundtrip"] = "WITH " + DAILY_WEATHER + " SELECT date, temperatureC, weather FROM daily"
     q["sun_json_roundtrip"] = "WITH " + SUN + " SELECT date, sunrise, sunset FROM sun"
     nb = "WITH " + ENRICHED + FREQUENCY + _naive_bayes_ctes()
@@ -314,6 +352,21 @@ def oracle_sql() -> dict[str, str]:
     q["nb_predictions"] = (nb + f" SELECT e.Id, {pred_cols}, lab.value AS PredictedCategory"
                            " FROM best b JOIN enriched e ON e.Id = b.Id"
                            f" JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.idx = b.prediction")
+    plain = ", ".join(f'"{c}"' for c in PREDICTION_COLUMNS if c != "PredictedCategory")
+    for kind in ("dt", "rf"):
+        q[f"{kind}_scored_rows"] = ("WITH " + ENRICHED + f" SELECT Id, {plain}, true AS known FROM enriched"
+                                    f" WHERE NOT {IN_TRAIN}")
+        q[f"{kind}_importance_sum"] = (f"SELECT {len(NUMERIC_FEATURES + CATEGORY_FEATURES)} AS n,"
+                                       " true AS none_negative, CAST(1.0 AS DOUBLE) AS total")
+    # this regression's penalty shrinks every coefficient to zero (a test asserts it),
+    # so it predicts the most frequent training label
+    usual = (f"(SELECT {LABEL_COL} FROM enriched JOIN freq ON feature = '{LABEL_COL}' AND value = {LABEL_COL}"
+             f" WHERE {IN_TRAIN} GROUP BY {LABEL_COL}, idx ORDER BY count(*) DESC, idx LIMIT 1)")
+    q["lr_predictions"] = ("WITH " + ENRICHED + FREQUENCY + f" SELECT Id, {plain}, {usual} AS PredictedCategory"
+                           f" FROM enriched WHERE NOT {IN_TRAIN}")
+    q["lr_accuracy"] = ("WITH " + ENRICHED + FREQUENCY +
+                        f" SELECT avg(CASE WHEN {LABEL_COL} = {usual} THEN 1.0 ELSE 0.0 END) AS accuracy"
+                        f" FROM enriched WHERE NOT {IN_TRAIN}")
     q["neighborhood_from_file"] = q["neighborhood"]
     q["predictions_csv"] = q["nb_predictions"]
     q["nb_accuracy"] = (nb + " SELECT CAST(sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS DOUBLE)"

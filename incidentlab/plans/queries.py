@@ -12,10 +12,10 @@ from ..operators import model as M
 from ..operators.features import address_features, day_night_feature, time_features, weekend_feature
 from ..operators.geo import with_neighborhood
 from ..operators.joins import with_weather
-from ..operators.split import key_bucket, split_random
+from ..operators.split import key_bucket, split_by_key, split_random
 from ..operators.weather import daily_weather
-from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTION_COLUMNS, incident_schema
-from ..session import scratch_path, write_table
+from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTED_COL, PREDICTION_COLUMNS, incident_schema
+from ..session import scratch_path
 from ..sources import testdata as td
 from ..sources.files import (read_daily_weather, read_incidents, read_polygons,
                               read_predictions, read_sun_times)
@@ -109,6 +109,13 @@ def q_weather_table(spark: SparkSession, sf: str) -> DataFrame:
     return table.select("date", "temperatureC", "weather")
 
 
+def q_key_split_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Both parts of the keyed split when every seventh key is missing."""
+    inc = td.incidents(spark, sf).select("Id", F.when(F.col("Id") % 7 != 0, F.col("Id").cast("string")).alias("k"))
+    train, test = split_by_key(inc, "k")
+    return (train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))))
+
+
 def q_key_split(spark: SparkSession, sf: str) -> DataFrame:
     return td.incidents(spark, sf).select("Id", (key_bucket("Id") < 70).alias("in_train"))
 
@@ -123,24 +130,63 @@ def q_combined_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_frequency_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Every (feature, level, index) the fitted indexers assign to the data."""
-    e = write_table(enriched(spark, sf), "enriched")
-    feat, lab = M.fit_indexers(e)          # train ∪ test = every enriched row
-    t = lab.transform(feat.transform(e))
-    cols = CATEGORY_FEATURES + [LABEL_COL]
-    args = ", ".join(f"'{c}', CAST(`{c}` AS STRING), `{c}Indexed`" for c in cols)
-    return t.selectExpr(f"stack({len(cols)}, {args}) AS (feature, value, idx)").distinct()
+    """Every (feature, level, index) that the indexers are made of."""
+    # train ∪ test = every enriched row
+    return M.frequency_table(enriched(spark, sf), CATEGORY_FEATURES + [LABEL_COL])
 
 
 def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Incidents written as CSV with a header, then read back with the schema."""
     path = scratch_path(spark, "incidents-csv")
-    inc = td.incidents(spark, sf).withColumns({"Descript": F.lit(None).cast("string"),
-                                                "Resolution": F.lit(None).cast("string")})
     cols = [f.name for f in incident_schema(exclude=())]
-    write_predictions(inc, path, files=None, columns=cols)
-    return read_incidents(spark, path, schema=incident_schema(exclude=())) \
-        .select("Id", "Dates", "Category", "DayOfWeek", "PdDistrict", "Address", "X", "Y")
+    write_predictions(_described(td.incidents(spark, sf)), path, columns=cols)
+    return read_incidents(spark, path, schema=incident_schema(exclude=())).select(*cols)
+
+
+def _described(inc: DataFrame) -> DataFrame:
+    """With the two text columns; they hold quotes, commas and missing values."""
+    k = F.col("Id")
+    return inc.withColumns({
+        "Descript": F.concat(F.lit('"'), F.col("Category"), F.lit('", no. '), k.cast("string")),
+        "Resolution": F.when(k % 3 != 0, F.concat(F.lit("NONE, "), F.col("DayOfWeek")))})
+
+
+def q_training_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The training layout (a header, no ``Id``) through its default reader."""
+    path = scratch_path(spark, "training-csv")
+    cols = [f.name for f in incident_schema()]
+    write_predictions(_described(td.incidents(spark, sf)), path, columns=cols)
+    return read_incidents(spark, path).select(*cols)
+
+
+def _write_array(df: DataFrame, path: str) -> None:
+    """One file with one JSON array, as the per-day and polygon files come.  Only
+    for such tables: the array is one value."""
+    row = F.struct(*df.columns)
+    df.agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value")).write.text(path)
+
+
+def q_sun_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "sun-array")
+    _write_array(td.sun_times(spark, sf), path)
+    return read_sun_times(spark, path)
+
+
+def q_weather_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "weather-array")
+    _write_array(_daily(spark, sf), path)
+    return read_daily_weather(spark, path)
+
+
+def q_neighborhood_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """The polygon lookup with polygons read from one JSON array (array order)."""
+    path = scratch_path(spark, "polygons-array")
+    (td.polygons(spark).agg(F.to_json(F.transform(
+        F.sort_array(F.collect_list(F.struct("ord", "name", "polygon"))),
+        lambda p: F.struct(p["name"].alias("name"), p["polygon"].alias("polygon")))).alias("value"))
+     .write.text(path))
+    return (with_neighborhood(td.incidents(spark, sf), read_polygons(spark, path))
+            .select("Id", "X", "Y", "Neighborhood"))
 
 
 def q_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,12 +221,59 @@ def q_predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_random_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeded 70/30 Bernoulli split of the enriched rows, labelled by part."""
-    train, test = split_random(enriched(spark, sf).select("Id", "Category"), (0.7, 0.3), 42)
+    """Seeded 70/30 random split of the enriched rows, labelled by part."""
+    train, test = split_random(enriched(spark, sf).select("Id", "Category"), (0.7, 0.3), 42, key="Id")
     return (train.withColumn("part", F.lit("train"))
             .unionByName(test.withColumn("part", F.lit("test"))))
 
 
+def q_random_split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The random split without a key: every row is in exactly one part."""
+    e = enriched(spark, sf).select("Category", "DayOfWeek", "PdDistrict")
+    train, test = split_random(e, (0.7, 0.3), 42)
+    both = train.withColumn("p", F.lit(1)).unionByName(test.withColumn("p", F.lit(0)))
+    return both.groupBy("Category", "DayOfWeek", "PdDistrict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nb_grid(classifier) -> list[dict]:
+    return M.param_grid(classifier, smoothing=[1.0, 10.0])
+
+
+def q_nb_cv_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean accuracy of naive Bayes over three folds for each of two maps."""
+    run = run_classifier(enriched(spark, sf), "nb", evaluate=False, grid=nb_grid)
+    return (M.cv_metrics(run.model, spark)
+            .select("params", F.round("mean_accuracy", 9).alias("mean_accuracy")))
+
+
+def q_nb_best_params(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_classifier(enriched(spark, sf), "nb", evaluate=False, grid=nb_grid)
+    return spark.createDataFrame([(k, float(v)) for k, v in run.best_params.items()],
+                                 "param string, value double")
+
+
+def _known(kind: str):
+    """A tree's predictions without the predicted column, and whether that is a
+    label of the data."""
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        run = run_classifier(enriched(spark, sf), kind, evaluate=False)
+        labels = run.model.bestModel.stages[1].labelsArray[0]
+        return run.predictions.select("Id", *[c for c in PREDICTION_COLUMNS if c != PREDICTED_COL],
+                                      F.col(PREDICTED_COL).isin(labels).alias("known"))
+    q.__name__ = f"q_{kind}_scored_rows"
+    return q
+
+
+def _importance_sum(kind: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        run = run_classifier(enriched(spark, sf), kind, evaluate=False)
+        return run.importances.agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.col("importance") >= 0).alias("none_negative"),
+            F.round(F.sum("importance"), 9).alias("total"))
+    q.__name__ = f"q_{kind}_importance_sum"
+    return q
+
+
 def _predictions(kind: str):
     def q(spark: SparkSession, sf: str) -> DataFrame:
         run = run_classifier(enriched(spark, sf), kind, evaluate=False)
@@ -224,6 +317,18 @@ def queries() -> dict[str, Query]:
         "key_split": q_key_split,
         "combined_features": q_combined_features,
         "combined_count": q_combined_count,
+        "key_split_with_nulls": q_key_split_with_nulls,
+        "training_csv": q_training_csv,
+        "sun_json_array": q_sun_json_array,
+        "weather_json_array": q_weather_json_array,
+        "neighborhood_json_array": q_neighborhood_json_array,
+        "random_split_rows": q_random_split_rows,
+        "nb_cv_metrics": q_nb_cv_metrics,
+        "nb_best_params": q_nb_best_params,
+        "dt_scored_rows": _known("dt"),
+        "rf_scored_rows": _known("rf"),
+        "dt_importance_sum": _importance_sum("dt"),
+        "rf_importance_sum": _importance_sum("rf"),
         "frequency_index": q_frequency_index,
         "csv_roundtrip": q_csv_roundtrip,
         "json_roundtrip": q_json_roundtrip,

@@ -3,7 +3,7 @@ service responses, and the request lists that drive fetching them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.weather import daily_weather
@@ -35,9 +35,17 @@ def weather_table(responses: DataFrame, body: str = "body", date: str = "date",
 
 
 def build_tables(sun_responses: DataFrame, weather_responses: DataFrame, sun_path: str,
-                 weather_path: str, mode: str = "errorifexists", **weather_opts) -> None:
-    """Parse, roll up and write both per-day tables."""
-    sun, _ = sun_table(sun_responses)
-    weather, _ = weather_table(weather_responses, **weather_opts)
-    write_daily_table(sun, sun_path, mode=mode)
-    write_daily_table(weather, weather_path, mode=mode)
+                 weather_path: str, mode: str = "errorifexists", **weather_opts) -> dict[str, int]:
+    """Parse, roll up and write both per-day tables.
+
+    Responses that cannot be used are written beside each table
+    (``<path>_rejected``, with the reason); returns how many there are.
+    """
+    rejected = {}
+    for name, path, (table, bad) in (("sun", sun_path, sun_table(sun_responses)),
+                                     ("weather", weather_path, weather_table(weather_responses, **weather_opts))):
+        write_daily_table(table, path, mode=mode)
+        counted = Observation(f"{name} rejected")
+        write_daily_table(bad.observe(counted, F.count(F.lit(1)).alias("n")), f"{path}_rejected", mode=mode)
+        rejected[name] = counted.get["n"]
+    return rejected

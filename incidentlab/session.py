@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []        # scratch tables of this process, oldest first
+
 # Settings a job needs regardless of cluster size.  Everything else
 # (executor memory, shuffle partitions on a real cluster) is the caller's.
 _BASE_CONF = {
@@ -42,8 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared folder set by the operator of the cluster and
-    is only read here.  Only when it is unset (a local test session) a private
-    folder is created under the system temp dir.
+    is only read here; a cluster session without it is refused, since executors
+    could not see each other's files.  Only a local session without the setting
+    gets a private folder under the system temp dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="incidentlab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -74,12 +79,31 @@ def materialize(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back.  Later passes read only the columns they use
-    (compressed, columnar), which matters for iterative training."""
+    (compressed, columnar), which matters for iterative training.
+
+    The table lives until ``release_tables`` is called for it."""
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def tables_written() -> int:
+    """A mark for ``release_tables``: the tables written from here on."""
+    return len(_written)
+
+
+def release_tables(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables this process wrote after the mark ``since``;
+    returns how many.  Frames that read them must not be used afterwards."""
+    paths, _written[since:] = _written[since:], []
+    jvm = spark._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work at least ``min_partitions`` tasks (default:
     the cluster's default parallelism).

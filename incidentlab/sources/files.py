@@ -14,7 +14,7 @@ from ..session import spread
 
 # --- fixed values: text layout of timestamps in the incident files ---
 READ_TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-WRITE_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+WRITE_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def read_incidents(spark: SparkSession, path: str, schema: T.StructType | None = None,

@@ -8,14 +8,14 @@ from ..schemas import PREDICTION_COLUMNS
 from .files import WRITE_TS_FORMAT
 
 
-def write_predictions(df: DataFrame, path: str, files: int | None = 3,
+def write_predictions(df: DataFrame, path: str, files: int | None = None,
                       mode: str = "errorifexists", columns: list[str] | None = None) -> None:
     """CSV with header of the prediction columns.
 
-    ``files`` part files are produced by a repartition, so the scoring stage
-    upstream keeps its full parallelism (a coalesce would run it in ``files``
-    tasks).  ``files=None`` writes one part per task, the choice for large
-    outputs.  The default mode refuses an existing path.
+    By default every task writes its own part.  ``files`` asks for that many
+    part files, by a repartition, so that the scoring stage upstream keeps its
+    full parallelism (a coalesce would run it in ``files`` tasks).  The default
+    mode refuses an existing path.
     """
     out = df.select(*(columns or PREDICTION_COLUMNS))
     if files:

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast
 from ..session import spread
 
 # --- fixed values: the three test polygons, in lookup order ---
@@ -42,7 +41,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident rows in the layout of the incident CSV files (``Id`` kept)."""
     ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = ev.join(bounded_broadcast(nation, 10_000), (F.col("user_id") % 25) == F.col("n_nationkey"))
+    j = ev.join(nation, (F.col("user_id") % 25) == F.col("n_nationkey"))
     eid, uid, name = F.col("event_id"), F.col("user_id"), F.col("n_name")
     k = eid % 4
     address = (F.when(k == 0, F.concat(((uid % 50) * 100).cast("string"), F.lit(" Block of "), name, F.lit(" ST")))
@@ -52,8 +51,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts")
     return j.select(
         eid.alias("Id"),
-        F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts),
-                             F.minute(ts), F.second(ts)).alias("Dates"),
+        ts.cast("timestamp_ntz").alias("Dates"),
         F.col("event_type").alias("Category"),
         F.date_format(ts.cast("date"), "EEEE").alias("DayOfWeek"),
         name.alias("PdDistrict"),

@@ -2,9 +2,9 @@
 
 Every enrichment step is row-preserving or a stream-static join with a
 bounded static side, so the batch plan applies to a stream unchanged: no
-streaming state, no watermark needed.  Progress and output commits go to a
-checkpoint location in the shared checkpoint folder, so a restarted query
-resumes where it stopped.
+streaming state, no watermark needed.  Progress and output commits go to the
+checkpoint location that the caller names (a shared folder); a query restarted
+with the same location resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.enrich import enrich_incidents
 from ..schemas import DEFAULT_ZONE
-from ..session import scratch_path
 
 
 def read_incident_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -34,12 +33,11 @@ def enrich_stream(stream: DataFrame, sun: DataFrame, weather: DataFrame, polygon
     return enrich_incidents(stream, sun, weather, polygons, zone=zone)
 
 
-def start_enrichment(enriched: DataFrame, sink_path: str, checkpoint_location: str | None = None,
+def start_enrichment(enriched: DataFrame, sink_path: str, checkpoint_location: str,
                      fmt: str = "parquet", available_now: bool = True,
                      processing_time: str | None = None, query_name: str | None = None,
                      partition_by: list[str] | None = None) -> StreamingQuery:
     """Append enriched rows to files; exactly-once through the file sink log."""
-    checkpoint_location = checkpoint_location or scratch_path(enriched.sparkSession, "stream")
     writer = (enriched.writeStream.format(fmt).outputMode("append")
               .option("checkpointLocation", checkpoint_location))
     if partition_by:

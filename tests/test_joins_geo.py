@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.operators.geo import choose_cell_size, polygon_table, with_neighborhood
-from incidentlab.operators.joins import bounded_broadcast, with_sun_times, with_weather
+from incidentlab.operators.joins import with_sun_times, with_weather
 from incidentlab.sources import testdata as td
 
 from conftest import SF_SMALL
@@ -34,13 +34,62 @@ def test_duplicate_dates_rejected(spark):
         with_sun_times(inc, sun, check_unique=True)
 
 
-def test_broadcast_only_below_bound(spark):
-    big = spark.range(10).withColumnRenamed("id", "k")
-    small = spark.range(3).withColumnRenamed("id", "k")
-    j1 = big.join(bounded_broadcast(small, max_rows=5), "k")
-    j2 = big.join(bounded_broadcast(spark.range(3).withColumnRenamed("id", "k"), max_rows=2), "k")
-    assert "BroadcastHashJoin" in _plan(j1)
-    assert j1.count() == j2.count() == 3
+def test_broadcast_only_below_threshold_and_no_job_while_planning(spark, tmp_dir):
+    inc = spark.createDataFrame([(1, "2024-01-01")], "Id long, Date string")
+    path = tmp_dir + "/weather"
+    spark.createDataFrame([("2024-01-01", 1.0, "Clear", "unused")],
+                          "date string, temp double, weather string, more string").write.parquet(path)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    wx = spark.read.schema("date string, temp double, weather string, more string").parquet(path)
+    joined = with_weather(inc, wx)
+    assert "BroadcastHashJoin" in _plan(joined) and "more" not in joined.columns
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    assert "InMemoryTableScan" not in _plan(joined)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in _plan(with_weather(inc, wx))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_join_sees_a_replaced_day_file(spark, tmp_dir):
+    inc = spark.createDataFrame([(1, "2024-01-01")], "Id long, Date string")
+    path = tmp_dir + "/replaced"
+
+    def degrees(value):
+        (spark.createDataFrame([("2024-01-01", value, "Clear")], "date string, temp double, weather string")
+         .write.mode("overwrite").json(path))
+        wx = spark.read.schema("date string, temp double, weather string").json(path)
+        return [r.temperatureC for r in with_weather(inc, wx).collect()]
+    assert [degrees(1.0), degrees(22.0)] == [[1.0], [22.0]]
+
+
+def test_points_that_are_no_numbers_lie_nowhere(spark):
+    polys = spark.createDataFrame([(0, "Origin", "POLYGON ((-1 -1, 1 -1, 1 1, -1 1, -1 -1))")],
+                                  "ord long, name string, polygon string")
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (2, float("nan"), 0.0), (3, 0.0, float("inf")), (4, float("nan"), float("nan"))],
+                                "Id long, X double, Y double")
+    got = {r.Id: r.Neighborhood for r in with_neighborhood(pts, polys).collect()}
+    assert got == {1: "Origin", 2: "SF", 3: "SF", 4: "SF"}
+
+
+def test_huge_and_many_overlapping_polygons(spark):
+    wide = spark.createDataFrame([(0, "Wide", "POLYGON ((-120 -60, 120 -60, 120 60, -120 60, -120 -60))")],
+                                 "ord long, name string, polygon string")
+    size, fits = choose_cell_size(polygon_table(wide), 0.0025, max_bytes=10)
+    assert not fits and size > 1_000
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 130.0, 0.0)], "Id long, X double, Y double")
+    got = {r.Id: r.Neighborhood for r in with_neighborhood(pts, wide, max_broadcast_bytes=10).collect()}
+    assert got == {1: "Wide", 2: "SF"}
+    many = spark.range(10_000).select(
+        F.col("id").alias("ord"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"),
+        F.lit("POLYGON ((0 0, 8 0, 8 8, 0 8, 0 0))").alias("polygon"))
+    got = {r.Id: r.Neighborhood for r in with_neighborhood(
+        pts.withColumn("X", F.col("X") + 1.5).withColumn("Y", F.col("Y") + 1.5), many, cell_size=1.0).collect()}
+    assert got == {1: "p0", 2: "SF"}
+    with pytest.raises(ValueError, match="Wild"):
+        with_neighborhood(pts, spark.createDataFrame([(0, "Wild", "POLYGON ((0 0, 9e9 0, 9e9 9, 0 9, 0 0))")],
+                                                     "ord long, name string, polygon string"))
 
 
 POLYS = [
@@ -70,7 +119,7 @@ def test_grid_coarsening(spark):
     poly = polygon_table(spark.createDataFrame(POLYS, "ord long, name string, polygon string"))
     size, fits = choose_cell_size(poly, 0.001, max_bytes=50_000)
     assert fits and size > 0.001
-    assert choose_cell_size(poly, 1.0, max_bytes=0) == (1.0, False)
+    assert choose_cell_size(poly, 1.0, max_bytes=0) == (2.0 ** 23, False)     # the coarsest
 
 
 def test_invalid_polygon(spark):

@@ -52,21 +52,51 @@ def test_same_seed_same_forest(spark, data):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_cross_validation_runs_for_one_map_too(spark, data):
+    run = run_classifier(data, "lr", evaluate=False)
+    assert run.best_params == {} and len(run.avg_metrics) == 1 and 0 <= run.avg_metrics[0] <= 1
+    # the elastic-net penalty leaves no coefficient, which the SQL oracle relies on
+    assert abs(run.model.bestModel.stages[3].coefficientMatrix.toArray()).max() == 0.0
+
+
 def test_cross_validation_with_grid_reports_best(spark, data):
-    run = run_classifier(data, "dt", grid=None, cv_metrics=True)
-    assert run.best_params == {}
-    from incidentlab.operators.model import classifier
-    dt = classifier("dt")
-    grid = M.param_grid(dt, impurity=["gini", "entropy"])
-    assert len(grid) == 2
+    run = run_classifier(data, "dt", grid=lambda dt: M.param_grid(dt, impurity=["gini", "entropy"]))
+    assert len(run.avg_metrics) == 2
+    best = run.avg_metrics.index(max(run.avg_metrics))
+    assert run.best_params == {"impurity": ["gini", "entropy"][best]}
 
 
-def test_single_candidate_fit_equals_cross_validated_refit(spark, data):
-    a = run_classifier(data, "nb", cv_metrics=True).predictions.select("Id", "prediction")
-    b = run_classifier(data, "nb").predictions.select("Id", "prediction")
+def test_cross_validated_refit_equals_direct_fit(spark, data):
+    a = run_classifier(data, "nb").predictions.select("Id", "prediction")
+    b = run_classifier(data, "nb", folds=0).predictions.select("Id", "prediction")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_dictionary_leaves_out_only_its_own_nulls(spark):
+    df = spark.createDataFrame([(v, w) for v, w in zip(["x", None, None, None, "y", "x"], "aabbbc")], "v string, w string")
+    feat, _ = M.fit_indexers(df, features=["v", "w"], label=None)
+    assert [list(x) for x in feat.labelsArray] == [["x", "y"], ["b", "a", "c"]]
+
+
+def test_too_many_levels_fail_by_name_unless_bins_may_grow(spark, data):
+    wide = data.withColumn("Street", F.concat(F.lit("s"), F.col("Id").cast("string")))
+    with pytest.raises(ValueError, match="'Street' has .* maxBins must be at least"):
+        run_classifier(wide, "dt", folds=0, maxBins=50)
+    feat, _ = M.fit_indexers(wide)
+    M.check_max_bins(feat, M.max_bins_for(feat, floor=50))
+
+
+def test_run_releases_its_table(spark, data):
+    import os
+    from incidentlab.session import ensure_checkpoint_dir
+    folder = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "incidentlab-scratch")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    run = run_classifier(data, "nb", folds=0)
+    assert len(set(os.listdir(folder)) - before) == 1
+    run.release()
+    assert set(os.listdir(folder)) == before
+
+
 def test_accuracy_frame_matches_evaluator(spark, data):
     run = run_classifier(data, "nb")
     assert M.accuracy_frame(run.predictions).first().accuracy == pytest.approx(run.accuracy)
@@ -96,7 +126,7 @@ def test_classifier_job_from_files(spark, tmp_dir):
     wx = array_file("weather.json", _daily(spark, SF_SMALL))
     hoods = array_file("hoods.json", td.polygons(spark).orderBy("ord").select("name", "polygon"))
     out = os.path.join(tmp_dir, "rf_output")
-    run = classifier_job(spark, csv, sun, wx, hoods, out, kind="rf", cv_metrics=True)
+    run = classifier_job(spark, csv, sun, wx, hoods, out, kind="rf", files=3)
     rep = report(run)
     assert 0 <= rep["accuracy"] <= 1 and len(rep["importances"]) == 14
     assert len([f for f in os.listdir(out) if f.startswith("part-")]) == 3

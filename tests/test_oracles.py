@@ -7,16 +7,21 @@ from compare import compare
 
 from conftest import SF_ORACLE, SF_SMALL
 
-SLOW = {"dt_predictions", "rf_predictions", "lr_predictions", "dt_importance", "rf_importance",
-        "dt_accuracy", "rf_accuracy", "lr_accuracy", "random_split"}
+# trees beyond SQL: their rows, labels and importance sums have oracles of their own
+SLOW = {"dt_predictions", "rf_predictions", "dt_importance", "rf_importance", "dt_accuracy", "rf_accuracy"}
+
+
+def _optional(name):
+    """Queries of the optional training-data part have tests of their own."""
+    return name == "pipeline" or (name.startswith("op") and name[2:3].isdigit())
 
 
 def test_every_query_but_rows_only_ones_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = {n for n in set(E.queries()) - set(E.oracle_sql()) if not _optional(n)}
     assert missing <= SLOW
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not _optional(n)))
 def test_query_matches_oracle(spark, name):
     ok, msg = compare(spark, name, SF_ORACLE, E.queries()[name], E.oracle_sql()[name])
     assert ok, msg

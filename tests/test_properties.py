@@ -3,6 +3,7 @@ same rules, on random batches (one Spark job per batch)."""
 
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -133,3 +134,41 @@ def test_grid_lookup_equals_first_match_ray_casting(spark, polygons, points, gri
                 return f"p{i}"
         return "SF"
     assert got == {i: first(x, y) for i, (x, y) in enumerate(points)}
+
+
+def test_key_split_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,), (None,)], "k long")
+    train, test = split_by_key(df, "k", 70)
+    assert train.count() + test.count() == 4 and train.filter("k IS NULL").count() == 2
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+def test_random_split_does_not_depend_on_layout(spark, key):
+    from incidentlab.operators.split import split_random
+    df = spark.range(3000).selectExpr("id AS k", "id % 7 AS v").union(spark.createDataFrame([(5, 5)] * 40, "k long, v long"))
+    seen = []
+    for n in (1, 3, 8):
+        train, test = split_random(df.repartition(n), (0.7, 0.3), 42, key=key)
+        a, b = sorted(map(tuple, train.collect())), sorted(map(tuple, test.collect()))
+        assert sorted(a + b) == sorted(map(tuple, df.collect())) and 0.65 < len(a) / 3040 < 0.75
+        seen.append(a)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_sub_seconds_survive_the_csv_sink(spark, tmp_dir):
+    from incidentlab.sources.files import READ_TS_FORMAT
+    from incidentlab.sources.sinks import write_predictions
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 01:02:03.456789' AS Dates")
+    write_predictions(df, tmp_dir + "/csv", columns=["Dates"])
+    back = spark.read.option("header", True).option("timestampNTZFormat", READ_TS_FORMAT) \
+        .schema("Dates timestamp_ntz").csv(tmp_dir + "/csv")
+    assert back.collect() == df.collect()
+
+
+def test_rejected_responses_are_written_and_counted(spark, tmp_dir):
+    from incidentlab.plans.tables import build_tables
+    from incidentlab.sources import testdata as td
+    sun, weather = td.sun_responses(spark, SF_SMALL), td.weather_responses(spark, SF_SMALL)
+    counts = build_tables(sun, weather, tmp_dir + "/sun", tmp_dir + "/weather", order="rid")
+    assert counts["sun"] == spark.read.json(tmp_dir + "/sun_rejected").count() > 0
+    assert counts["weather"] == spark.read.json(tmp_dir + "/weather_rejected").count() > 0

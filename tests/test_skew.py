@@ -62,7 +62,7 @@ def test_hot_date_in_shuffle_fallback(skew_conf):
                       "yyyy-MM-dd").alias("date"),
         F.col("id").cast("double").alias("temp"), F.lit("Clear").alias("weather"),
         F.col("id").alias("seq"))
-    out = with_weather(inc, daily_weather(readings), max_broadcast_rows=10)
+    out = with_weather(inc, daily_weather(readings))
     assert "skew=true" in _final_plan(out)
     assert out.count() == 30000
 
