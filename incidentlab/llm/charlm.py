@@ -164,18 +164,15 @@ class Model:
 
     def _sum(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.labels))
-        weight = np.zeros((1, len(self.labels)), np.float32)
+        # log weights of the orders that did not know a window; none at first
+        weight = np.zeros((len(keys), len(self.labels)), np.float32)
         for order, (slots, logp, contexts, logw) in zip(range(ORDER, 0, -1), self.orders):
             at, hit = _find(slots, _slots(keys))
-            if weight.shape[0] == 1:
-                total += counts[hit] @ logp[at[hit]].astype(np.float64)
-            else:
-                total += counts[hit] @ (logp[at[hit]] + weight[hit]).astype(np.float64)
+            known = logp[at[hit]] if order == ORDER else logp[at[hit]] + weight[hit]
+            total += counts[hit] @ known.astype(np.float64)
             miss = ~hit
             if not miss.any():
                 return total
-            if weight.shape[0] == 1:
-                weight = np.zeros((len(keys), len(self.labels)), np.float32)
             keys, counts, weight = keys[miss], counts[miss], weight[miss]
             at, hit = _find(contexts, _slots(keys >> np.uint64(16)))
             weight[hit] += logw[at[hit]]
