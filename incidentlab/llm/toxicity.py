@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in a fixed order by logistic regressions on word
-features (see ``labelled``); each later one also gets the earlier categories'
+Categories are predicted in a fixed order by logistic regressions on those word
+features (see ``labelled``) that go with the label beyond chance; each later one also gets the earlier categories'
 probabilities.  In training these are out-of-fold predictions, so that a later
 model learns from probabilities as good as it will see.  The last category is
-the label itself (``toxic``), whose probability decides.
+the label itself (``toxic``), whose probability decides, from the threshold on
+that errs least out of fold at the labels' class shares.
 
 The models are fitted on at most ``PER_CLASS`` labelled documents of either
 class; the class shares among all labels correct the intercept for that.
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import clean_text, map_rows
-from .labelled import columns_of, reader, sample, vocabulary
+from .labelled import columns_of, reader, sample, telling, vocabulary
 from .linear import Rows, fit, sigmoid
 
 PER_CLASS = 2_500
 FOLDS = 3
-L2 = 0.3
-THRESHOLD = 0.5
+_THRESHOLDS = tuple(k / 20 for k in range(2, 19))
+L2 = 0.1
 
 #: categories before the label: a toxic document belongs to one if it has such a word
 CATEGORIES = {
@@ -44,8 +45,11 @@ class Chain:
     """Vocabulary and, per category, the weights of features, then of the
     earlier categories' probabilities."""
 
-    def __init__(self, names: list[str], vocab: dict[str, int], weights: list[np.ndarray]):
-        self.names, self.vocab, self.weights = names, vocab, weights
+    def __init__(self, names: list[str], vocab: dict[str, int], weights: list[np.ndarray], threshold: float):
+        self.names, self.vocab, self.weights, self.threshold = names, vocab, weights, threshold
+
+    def parts(self) -> tuple:
+        return self.names, self.vocab, self.weights, self.threshold
 
     def scorer(self):
         """A function from text to the probabilities of the categories."""
@@ -67,10 +71,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = F.col(label_col)
     share = labels.where(y.isin(0, 1)).agg(F.avg(y.cast("double"))).first()[0]
     rows = sample(labels.where(y.isin(0, 1)), docs, per_class, id_col, text_col, y, {})
+    # copies would make chance words look telling
+    rows = list({(r.y, tuple(r.words)): r for r in rows}.values())
     target = np.array([r.y for r in rows], np.float64)
     if not rows or target.min() == target.max():
         return None
-    vocab = vocabulary([r.words for r in rows])
+    texts = [r.words for r in rows]
+    vocab = telling(texts, [r.y for r in rows], vocabulary(texts))
     x = Rows([columns_of(r.words, vocab) for r in rows], len(vocab) + 1)
     ys = [target * np.array([any(map(re.compile(f"(?:{p})s?$").match, r.words)) for r in rows])
           for p in CATEGORIES.values()] + [target]
@@ -89,12 +96,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out_of_fold[outside] = sigmoid(part.dot(w[:x.n_cols]) + earlier[outside] @ w[x.n_cols:])[:, 0]
         earlier = np.column_stack((earlier, out_of_fold))
     # the sample has other class shares than the labels
-    weights[-1][0] += np.log(share / (1 - share)) - np.log(target.mean() / (1 - target.mean()))
-    return Chain([*CATEGORIES, label_col], vocab, weights)
+    shift = np.log(share / (1 - share)) - np.log(target.mean() / (1 - target.mean()))
+    weights[-1][0] += shift
+    p = np.clip(out_of_fold, 1e-12, 1 - 1e-12)
+    p = sigmoid(np.log(p / (1 - p)) + shift)
+    wrong = [share * np.mean(p[target == 1] < t) + (1 - share) * np.mean(p[target == 0] >= t) for t in _THRESHOLDS]
+    least = [t for t, w in zip(_THRESHOLDS, wrong) if w <= min(wrong) + 1e-12]
+    return Chain([*CATEGORIES, label_col], vocab, weights, least[len(least) // 2])
 
 
-def judge(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text",
-          threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``p_<category>`` for each category in chain
     order, and ``is_toxic``."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), clean_text(text_col).alias("t"))
@@ -102,11 +113,11 @@ def judge(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
         return slim.select(F.col("id").alias(id_col), *[F.lit(0.0).alias(f"p_{c}") for c in (*CATEGORIES, "toxic")],
                            F.lit(False).alias("is_toxic"))
     # bounded by the sample: its features and one weight for each and category
-    shared = docs.sparkSession.sparkContext.broadcast((chain.names, chain.vocab, chain.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(chain.parts())
 
     def make():
-        score = Chain(*shared.value).scorer()
-        names = shared.value[0]
+        own = Chain(*shared.value)
+        score, names, threshold = own.scorer(), own.names, own.threshold
 
         def work(ids, texts):
             p = [score(t) for t in map(pa.StringScalar.as_py, texts)]
@@ -118,16 +129,16 @@ def judge(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
     return map_rows(slim, schema, make).withColumnRenamed("id", id_col)
 
 
-def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text",
-               threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns as they were."""
     if chain is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast((chain.names, chain.vocab, chain.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(chain.parts())
     place = docs.columns.index(text_col)
 
     def run(batches):
-        score = Chain(*shared.value).scorer()
+        own = Chain(*shared.value)
+        score, threshold = own.scorer(), own.threshold
         for batch in batches:
             keep = [score(t or "")[-1] < threshold for t in map(pa.StringScalar.as_py, batch.column(place))]
             yield batch.filter(pa.array(keep, pa.bool_()))
