@@ -5,6 +5,7 @@
         --neighborhoods neighborhoods.json --out rf_output
     python -m incidentlab.plans.jobs tables --sun-responses sun/ \\
         --weather-responses weather/ --sun-out sun_table --weather-out weather_table
+    python -m incidentlab.plans.jobs requests --start 2003-01-01 --end 2003-01-31 --out requests
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from ..operators.model import LABEL_INDEXED, accuracy, param_grid
 from ..schemas import DEFAULT_ZONE, PREDICTION_COLUMNS
 from ..session import get_session, spread
 from ..sources.files import read_daily_weather, read_incidents, read_polygons, read_sun_times
-from ..sources.sinks import write_predictions
+from ..sources.sinks import write_daily_table, write_predictions
+from ..sources.spine import date_spine, sun_requests, weather_requests
 from .classify import ClassifierRun, run_classifier
 from .enrich import enrich_incidents
 from .tables import build_tables
@@ -106,6 +108,10 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--weather-responses", required=True, help="JSON lines of {date, body}")
     t.add_argument("--sun-out", required=True)
     t.add_argument("--weather-out", required=True)
+    r = sub.add_parser("requests", help="write the per-day request list of both services")
+    r.add_argument("--start", required=True)
+    r.add_argument("--end", required=True)
+    r.add_argument("--out", required=True)
     args = ap.parse_args(argv)
 
     spark = get_session()
@@ -117,6 +123,11 @@ def main(argv: list[str] | None = None) -> None:
                              auto_max_bins=args.auto_max_bins, grid=grid_of(args.grid))
         print(json.dumps(report(run), default=str))
         run.release()
+    elif args.cmd == "requests":
+        days = date_spine(spark, args.start, args.end)
+        both = (sun_requests(days).withColumn("service", F.lit("sun"))
+                .unionByName(weather_requests(days).withColumn("service", F.lit("weather"))))
+        write_daily_table(both, args.out)
     else:
         schema = "date string, body string"
         rejected = build_tables(spread(spark.read.schema(schema).json(args.sun_responses)),

@@ -50,12 +50,6 @@ SUN_SCHEMA = T.StructType([
     T.StructField("sunset", T.StringType()),
 ])
 
-DAILY_WEATHER_SCHEMA = T.StructType([
-    T.StructField("date", T.StringType()),
-    T.StructField("temperatureC", T.DoubleType()),
-    T.StructField("weather", T.StringType()),
-])
-
 POLYGON_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("polygon", T.StringType()),
@@ -80,8 +74,3 @@ def incident_schema(exclude: tuple[str, ...] = ("Id",)) -> T.StructType:
     """Incident CSV schema without the ``exclude`` columns (training files
     carry no ``Id``)."""
     return T.StructType([f for f in INCIDENT_FIELDS if f.name not in exclude])
-
-
-def scoring_schema() -> T.StructType:
-    """Layout of a file of incidents to score: ``Id`` kept, no label columns."""
-    return incident_schema(exclude=("Category", "Descript", "Resolution"))

@@ -64,7 +64,7 @@ def test_read_polygons_keeps_file_order(spark, tmp_dir):
 def test_write_predictions_three_files_and_no_overwrite(spark, tmp_dir):
     df = spark.range(30).selectExpr(*[f"cast(id as string) as `{c}`" for c in PREDICTION_COLUMNS])
     out = os.path.join(tmp_dir, "pred")
-    write_predictions(df, out)
+    write_predictions(df, out, files=3)
     parts = [f for f in os.listdir(out) if f.startswith("part-")]
     assert len(parts) == 3
     with open(os.path.join(out, parts[0])) as f:
@@ -146,3 +146,11 @@ def test_tables_cli_builds_both_day_tables(spark, tmp_dir):
     assert sun.count() == td.sun_times(spark, SF_SMALL).count() - 1   # one body is not JSON
     assert wx.count() == td.sun_times(spark, SF_SMALL).count()        # one row per local date
     assert wx.filter("temperatureC IS NULL OR weather IS NULL").count() == 0
+
+
+def test_request_list_job(spark, tmp_dir):
+    from incidentlab.plans import jobs
+    jobs.main(["requests", "--start", "2003-01-01", "--end", "2003-01-03", "--out", tmp_dir + "/requests"])
+    got = spark.read.json(tmp_dir + "/requests").collect()
+    assert sorted({(r.date, r.service) for r in got}) == sorted(
+        (f"2003-01-0{d}", s) for d in (1, 2, 3) for s in ("sun", "weather"))
