@@ -63,6 +63,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     (default: language), or ``low`` where the label says low quality."""
     kind = F.coalesce((domain if domain is not None else F.col("lang")).cast("string"), F.lit("none"))
     low = (F.col(quality_col) == 0).cast("int")
+    share = labels.where(F.col(quality_col).isin(0, 1)).agg(F.avg(low.cast("double"))).first()[0] or 0.0
     rows = sample(labels.where(F.col(quality_col).isin(0, 1)), docs, per_class, id_col, text_col,
                   low, {"kind": kind})
     names = [LOW if r.y else r.kind for r in rows]
@@ -73,7 +74,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = Rows([columns_of(r.words, vocab) for r in rows], len(vocab) + 1)
     y = np.zeros((len(rows), len(domains)))
     y[np.arange(len(rows)), [domains.index(n) for n in names]] = 1.0
-    return Classifier(domains, vocab, fit(x, y, l2=L2, steps=40))
+    weights = fit(x, y, l2=L2, steps=40)
+    low_share, in_sample = float(np.clip(share, 1e-6, 1 - 1e-6)), y[:, domains.index(LOW)].mean() if LOW in domains else 0
+    if 0 < in_sample < 1:
+        # the sample holds other shares of low quality than the labels
+        weights[0, domains.index(LOW)] += np.log(low_share / (1 - low_share)) - np.log(in_sample / (1 - in_sample))
+    return Classifier(domains, vocab, weights)
 
 
 def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
