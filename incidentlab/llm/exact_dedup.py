@@ -77,11 +77,15 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns: of equal texts the
     one with the largest id."""
     mark, key = fresh_name(docs, "text_digest"), fresh_name(docs, "keep_key")
+
+    def named(value: Column) -> Column:
+        """An id as a join key; a missing one has a name of its own."""
+        return F.coalesce(value.cast("long").cast("string"), F.lit(""))
     # groups() compared whole texts; (id, digest) names one of its winners
-    keep = groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias(key), F.col("d").alias(mark))
-    marked = docs.withColumn(mark, _sha256(clean_text(text_col)))
-    same = marked[id_col].cast("long").eqNullSafe(keep[key]) & (marked[mark] == keep[mark])
-    kept = marked.join(keep, same, "left_semi")
-    once = Window.partitionBy(id_col, mark).orderBy(F.lit(1))
+    keep = groups(docs, id_col, text_col, salts).select(named(F.col("keep_id")).alias(key), F.col("d").alias(mark))
+    marked = docs.withColumns({mark: _sha256(clean_text(text_col)), key: named(F.col(id_col))})
+    kept = marked.join(keep, [key, mark], "left_semi")
+    # the join has laid the rows by these columns already: no further shuffle
+    once = Window.partitionBy(key, mark).orderBy(F.lit(1))
     number = fresh_name(kept, "copy_no")
     return kept.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)
