@@ -47,7 +47,7 @@ def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.judge(read(spark, sf, "documents"))
+    return quality.judge(read(spark, sf, "documents"), labels=read(spark, sf, "labels"))
 
 
 def op8_langid(spark: SparkSession, sf: str) -> DataFrame:

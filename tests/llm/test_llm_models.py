@@ -136,6 +136,19 @@ def test_text_of_another_kind_leaves_the_band(spark):
     assert all(got[k].kept for k in range(200))
 
 
+def test_bands_fitted_on_labels_reject_low_quality(spark):
+    def littered(k):
+        return " ".join(w + "$" * (i % 12 == 0) for i, w in enumerate(prose(k, 90).split()))
+    rows = [(k, prose(k, 90), "en", "a", 1) for k in range(400)]
+    docs = frame(spark, rows + [(k, littered(k), "en", "a", 1) for k in range(1000, 1030)])
+    labels = spark.createDataFrame([(k, int(k < 1000)) for k in [*range(400), *range(1000, 1030)]], "doc_id long, quality int")
+    wide = {r.doc_id: r for r in quality.judge(docs).collect()}
+    fitted = {r.doc_id: r for r in quality.judge(docs, labels=labels).collect()}
+    assert all(r.kept and not r.base_failed for r in wide.values())       # no help without labels
+    assert sum(not fitted[k].kept for k in range(1000, 1030)) >= 15
+    assert sum(not fitted[k].kept for k in range(400)) <= quality.FALSE_REJECT * 400
+
+
 def test_quality_of_awkward_rows(spark):
     got = quality.judge(awkward(spark)).collect()
     assert len(got) == len(awkward_rows())
