@@ -5,7 +5,9 @@ corpus (see ``charlm``), gives every document its nats per character.
 Documents outside their language's band are rejected: below it text that
 repeats itself, above it text that is not the language.
 
-Bands are fitted on documents that pass the fixed rules.  With ``labels`` their
+The model's windows are counted once per different text of a language, and a
+text counts once for its band, so copies move neither.  Bands are fitted on
+documents that pass the fixed rules.  With ``labels`` their
 ends are quantiles of the language's clean labelled documents, so that
 ``FALSE_REJECT`` of these fall outside, dealt over the two ends such that most
 low-quality labelled documents do.  An end that gets no share, or less than one
@@ -72,7 +74,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     t = docs.select(F.col(id_col).cast("long").alias("id"),
                     F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                     clean_text(text_col).alias("text"))
-    counts = write_table(count_windows(t.select(F.col("lang").alias("label"), "text")), "quality-counts")
+    # whole texts are compared; copies meet in the map side first
+    texts = t.groupBy(F.col("lang").alias("label"), "text").agg(F.count(F.lit(1)).alias("rows"))
+    counts = write_table(count_windows(texts), "quality-counts")
     names_of = sorted(r.label for r in counts.select("label").distinct().collect())
     model = build(counts, names_of, modified=True)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.orders))
@@ -82,8 +86,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         m = Model(*shared.value)
         place = {label: i for i, label in enumerate(m.labels)}
 
-        def work(ids, langs, texts):
-            out = {"id": ids, "lang": langs, "entropy": []} | {n: [] for n in names}
+        def work(ids, langs, digests, texts):
+            out = {"id": ids, "lang": langs, "digest": digests, "entropy": []} | {n: [] for n in names}
             for lang, text in zip(langs.to_pylist(), map(pa.StringScalar.as_py, texts)):
                 for name, value in text_counts(text).items():
                     out[name].append(value)
@@ -96,17 +100,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return work
 
     scored = write_table(map_rows(
-        t, "id long, lang string, entropy double, " + ", ".join(f"{n} long" for n in names), make), "quality-scores")
+        t.select("id", "lang", F.sha2("text", 256).alias("digest"), "text"),
+        "id long, lang string, digest string, entropy double, " + ", ".join(f"{n} long" for n in names), make), "quality-scores")
     failed = (F.col("n_words") < MIN_WORDS) | \
         (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    passing = scored.where("NOT base_failed").select("id", "lang", "entropy")
+    passing = scored.where("NOT base_failed").select("id", "lang", "digest", "entropy")
     if labels is None:
         passing = passing.withColumn("good", F.lit(None).cast("int"))
     else:
         marks = (labels.where(F.col(quality_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id"))
                  .agg(F.max(F.col(quality_col).cast("int")).alias("good")))
         passing = passing.join(marks, "id", "left")
+    passing = passing.groupBy("lang", "digest").agg(F.first("entropy").alias("entropy"), F.max("good").alias("good"))
     bands = _bands(passing, lower, upper, false_reject)
     inside = F.coalesce(F.col("entropy").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return scored.join(F.broadcast(bands), "lang", "left").select(
@@ -115,7 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _bands(passing: DataFrame, lower: float, upper: float, false_reject: float) -> DataFrame:
-    """(lang, band_low, band_high) from rows (lang, entropy, good) that pass the
+    """(lang, band_low, band_high) from texts (lang, entropy, good) that pass the
     fixed rules; a row per language of the model, so as many as it has columns."""
     def quantiles(value, shares):
         return F.percentile_approx(value, F.array(*[F.lit(q) for q in shares]), 10_000)

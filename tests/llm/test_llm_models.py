@@ -149,6 +149,17 @@ def test_bands_fitted_on_labels_reject_low_quality(spark):
     assert sum(not fitted[k].kept for k in range(400)) <= quality.FALSE_REJECT * 400
 
 
+def test_copies_move_no_band(spark):
+    rows = [(k, prose(k, 90), "en", "a", 1) for k in range(60)]
+    copies = [(1000 + k, prose(7, 90), "en", "a", 1) for k in range(120)]        # two thirds of the rows
+    plain = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows + copies)).collect()}
+    for k, r in plain.items():
+        assert r.band_high is not None
+        assert (got[k].entropy, got[k].band_low, got[k].band_high, got[k].kept) == \
+            pytest.approx((r.entropy, r.band_low, r.band_high, r.kept))
+
+
 def test_quality_of_awkward_rows(spark):
     got = quality.judge(awkward(spark)).collect()
     assert len(got) == len(awkward_rows())
