@@ -11,9 +11,10 @@ such pair holds the interpolation weights of the contexts, used for windows the
 corpus never showed.
 
 Window keys pack four characters of 16 bits (higher code points are folded).
-Keys are hashed into 2**``SLOT_BITS`` slots per order, so the arrays that are
-broadcast have at most ``2 * ORDER * 2**SLOT_BITS`` rows however large the
-corpus; windows that share a slot share the first one's value.
+A slot is the whole 64-bit hash of its key.  XXH64 of a long is one-to-one (odd
+factors, rotations and shifted xors only), so no two windows share a slot, and
+a window the corpus never showed has none.  The arrays, which pass through the
+driver, grow with the different windows: 8 bytes and 4 per label for each.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..session import write_table
 from .common import clean_text
 
 ORDER = 4
-SLOT_BITS = 22
+SLOT_BITS = 64
 #: characters worked on at a time, whatever the text's length
 BLOCK = 1 << 20
 #: windows a task collects before it merges equal ones, and different ones it holds
@@ -56,7 +57,7 @@ def xxhash64_longs(keys: np.ndarray, seed: int = 42) -> np.ndarray:
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
-    return (xxhash64_longs(keys) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+    return xxhash64_longs(keys) >> np.uint64(64 - SLOT_BITS)
 
 
 def windows(text: str) -> Iterator[np.ndarray]:
@@ -248,13 +249,11 @@ def _discounts(n1: int, n2: int, n3: int, n4: int, modified: bool) -> tuple[floa
 
 
 def _arrays(table: DataFrame, key: str, value: str, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots ascending, logs as a matrix) of a table with an array per key; at
-    most 2**SLOT_BITS rows reach the driver."""
+    """(slots ascending, logs as a matrix) of a table with an array per key."""
     slot = F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS)
-    rows = (table.groupBy(slot.alias("slot"))
-            .agg(F.min_by(F.transform(value, lambda x: F.log(F.greatest(x, F.lit(1e-30))).cast("float")), key)
-                 .alias("v")).toArrow())
-    slots = rows["slot"].to_numpy().astype(np.uint32)
+    logs = F.transform(value, lambda x: F.log(F.greatest(x, F.lit(1e-30))).cast("float"))
+    rows = table.select(slot.alias("slot"), logs.alias("v")).toArrow()
+    slots = rows["slot"].to_numpy().astype(np.int64).view(np.uint64)
     values = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, m)
     order = np.argsort(slots)
     return slots[order], np.ascontiguousarray(values[order])

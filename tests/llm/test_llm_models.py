@@ -44,6 +44,17 @@ def test_counts_are_those_of_a_plain_loop(spark):
     assert got == dict(want)
 
 
+def test_every_window_has_a_value_of_its_own(spark):
+    keys = np.unique(np.random.default_rng(3).integers(1, 1 << 62, 40_000))
+    seen, other = keys[::2], keys[1::2]
+    table = spark.createDataFrame([(int(k), [0.5 / (i + 1)]) for i, k in enumerate(seen)], "key long, p array<double>")
+    slots, logs = charlm._arrays(table, "key", "p", 1)
+    at, hit = charlm._find(slots, charlm._slots(seen.view(np.uint64)))
+    assert len(slots) == len(seen) and hit.all()
+    assert logs[at, 0] == pytest.approx(np.log(0.5 / np.arange(1, len(seen) + 1)), rel=1e-5)
+    assert not charlm._find(slots, charlm._slots(other.view(np.uint64)))[1].any()
+
+
 @pytest.mark.parametrize("modified", [False, True])
 def test_probabilities_after_a_context_sum_to_one(spark, modified, monkeypatch):
     monkeypatch.setattr(charlm, "SLOT_BITS", 31)        # no two windows share a slot
