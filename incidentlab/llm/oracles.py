@@ -9,6 +9,68 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+# op12: patterns, rules and words stated again, the fixed ones as the contract words them
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INT
+         WHEN {_DIGITS}[-i]::INT > 4 THEN {_DIGITS}[-i]::INT * 2 - 9 ELSE {_DIGITS}[-i]::INT * 2 END)) % 10 = 0"""
+_CODE = "replace(hit, ' ', '')"
+_MOD97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(
+    string_split(substr({_CODE}, 5) || left({_CODE}, 4), ''), lambda c:
+    CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END::BIGINT)),
+    lambda m, v: CASE WHEN v < 10 THEN (m * 10 + v) % 97 ELSE (m * 100 + v) % 97 END) = 1"""
+_CLEAR = "NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(after, '^[A-Za-z0-9]')"
+_PII = [   # name, pattern, rule, score, telling, misleading
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 90,
+     "mail|contact|write|kontakt|correo|courriel", "example|noreply"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+     "list_max(list_transform(string_split(hit, '.'), lambda p: p::HUGEINT)) <= 255", 60,
+     "ip|host|server|address|adresse|login", "version|release|section|chapter"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", 70,
+     "card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte", "isbn|order|invoice|serial|tracking"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", 70,
+     "phone|tel|call|mobile|cell|fax|telefon|whatsapp", "version|build|score"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
+     f"{_CLEAR} AND {_MOD97}", 80, "iban|account|bank|konto|cuenta|compte", "token|hash|serial"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+     f"{_CLEAR} AND right(before, 1) <> '-' AND left(after, 1) <> '-' AND left(hit, 3) NOT IN ('000', '666') "
+     "AND left(hit, 1) <> '9' AND hit[5:6] <> '00' AND right(hit, 4) <> '0000'", 30,
+     "ssn|social security|tax id|taxpayer", "order|invoice|part|serial"),
+    ("local_phone", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+     f"{_CLEAR} AND NOT regexp_matches(before, '[+0-9][ ().-]*$') AND NOT regexp_matches(after, '^[.-]?[0-9]')",
+     30, "phone|tel|call|mobile|cell|fax|telefon|whatsapp", "order|invoice|serial|isbn"),
+]
+
+
+def _pii_kind(no: int, pattern: str, rule: str, score: int, telling: str, misleading: str) -> str:
+    return rf"""
+    SELECT uid, {no} AS kind, stop - length(hit) AS start, stop,
+           greatest(0, least(100, {score}
+             + CASE WHEN regexp_matches(before || ' ' || after, '(?i)(^|[^a-z])({telling})') THEN 35 ELSE 0 END
+             - CASE WHEN regexp_matches(before || ' ' || after, '(?i)(^|[^a-z])({misleading})') THEN 30 ELSE 0 END)) AS score
+    FROM (SELECT uid, hit, right(piece, 48) AS before, left(after, 24) AS after,
+                 sum(length(piece) + length(hit)) OVER (PARTITION BY uid ORDER BY no) AS stop
+          FROM (SELECT uid, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, unnest(pieces[2:]) AS after,
+                       unnest(range(len(hits))) AS no
+                FROM (SELECT uid, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS pieces
+                      FROM d)))
+    WHERE {rule}"""
+
+
+_PII_NAMES = "[" + ", ".join(f"'{k[0]}'" for k in _PII) + "]"
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, {_PII_NAMES}[kind] || ':' || start || ':' || stop AS said
+      FROM ({" UNION ALL ".join(_pii_kind(no, *k[1:]) for no, k in enumerate(_PII, 1))})
+      WHERE kind <= 4 OR score >= 50)
+SELECT doc_id, count(*) FILTER (kind = 1) AS n_email, count(*) FILTER (kind = 2) AS n_ip,
+       count(*) FILTER (kind = 3) AS n_card, count(*) FILTER (kind = 4) AS n_phone,
+       sha256(coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind <= 4), '')) AS base_sha256,
+       coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans,
+       coalesce(string_agg(score::VARCHAR, ',' ORDER BY start, kind), '') AS scores
+FROM d LEFT JOIN s USING (uid) GROUP BY uid, doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10}
+    return {"op10_exact_dedup": OP10, "op12_pii": OP12}

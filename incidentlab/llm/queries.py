@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, html_extract, langid, mixing, quality, secret_scan, simhash, spiece, toxicity,
+from . import (exact_dedup, html_extract, langid, mixing, pii, quality, secret_scan, simhash, spiece, toxicity,
                url_filter)
 from .common import read
 from .url_seeds import labelled_urls
@@ -70,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.scan_documents(read(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -82,4 +86,5 @@ def queries() -> dict[str, Query]:
         "op8_langid": op8_langid,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_pii": op12_pii,
     }
