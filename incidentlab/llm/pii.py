@@ -145,11 +145,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cut = [F.struct(F.lit(no).alias("kind"), F.split("t", k.pattern).alias("pieces"),
                     F.regexp_extract_all("t", F.lit(k.pattern), F.lit(0)).alias("hits"))
            for no, k in enumerate(KINDS, 1)]
-    kinds = t.select("uid", "id", F.explode(F.array(none, *cut)).alias("k")).where("size(k.hits) > 0")
+    kinds = t.select("uid", "id", F.inline(F.array(none, *cut))).where("size(hits) > 0")
     each = kinds.select(
-        "uid", "id", "k.kind",
-        F.posexplode(F.arrays_zip(F.col("k.pieces").alias("piece"), F.col("k.hits").alias("hit"),
-                                  F.expr("slice(k.pieces, 2, size(k.pieces))").alias("after"))).alias("no", "m"),
+        "uid", "id", "kind",
+        F.posexplode(F.arrays_zip(F.col("pieces").alias("piece"), F.col("hits").alias("hit"),
+                                  F.expr("slice(pieces, 2, size(pieces))").alias("after"))).alias("no", "m"),
     ).where("m.hit is not null")
     before = F.expr(f"right(m.piece, {BEFORE})")
     after = F.expr(f"left(m.after, {AFTER})")
