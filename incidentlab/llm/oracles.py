@@ -71,6 +71,25 @@ SELECT doc_id, count(*) FILTER (kind = 1) AS n_email, count(*) FILTER (kind = 2)
 FROM d LEFT JOIN s USING (uid) GROUP BY uid, doc_id
 """
 
+OP13 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.lab = r.lab AS same,
+             list_inner_product(a.v, r.v)::BIGINT AS score
+      FROM r AS a, r WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INT AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10, "op12_pii": OP12}
+    return {"op10_exact_dedup": OP10, "op12_pii": OP12, "op13_hard_negatives": OP13}

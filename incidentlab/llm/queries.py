@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, html_extract, langid, mixing, pii, quality, secret_scan, simhash, spiece, toxicity,
-               url_filter)
+from . import (exact_dedup, hard_negatives, html_extract, langid, mixing, pii, quality, secret_scan, simhash,
+               spiece, toxicity, url_filter)
 from .common import read
 from .url_seeds import labelled_urls
 
@@ -74,6 +74,11 @@ def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan_documents(read(spark, sf, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf, "embeddings"), label=label, is_anchor=F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -87,4 +92,5 @@ def queries() -> dict[str, Query]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
         "op12_pii": op12_pii,
+        "op13_hard_negatives": op13_hard_negatives,
     }
