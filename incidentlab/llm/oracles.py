@@ -9,6 +9,42 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+# op11: CRC-32 byte by byte, pairs by words with one position left out
+OP11 = r"""
+WITH RECURSIVE
+crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i))),
+occurs AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, length(code) // 2), lambda i:
+      (strpos('0123456789ABCDEF', code[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', code[2 * i + 2]) - 1)),
+    lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1]))) AS h
+  FROM (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM occurs), crc_table),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+          FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+one_way AS (SELECT DISTINCT h.word, h.n, v.word AS near, v.n AS near_n FROM holes AS h JOIN v ON h.rest = v.word),
+near AS (SELECT * FROM one_way UNION ALL SELECT near, near_n, word, n FROM one_way
+         UNION ALL SELECT x.word, x.n, y.word, y.n FROM holes AS x JOIN holes AS y
+           ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS form_n,
+                min(encode(near)) FILTER (near_n = top) AS near
+         FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN form_n >= 2 * n THEN decode(near) END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+      FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS further FROM f
+          UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON chain.further = f.word)
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n
+FROM f JOIN chain ON chain.word = f.word AND chain.further IS NULL
+"""
+
 # op12: patterns, rules and words stated again, the fixed ones as the contract words them
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
 _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
@@ -92,4 +128,4 @@ QUALIFY rank <= 3
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10, "op12_pii": OP12, "op13_hard_negatives": OP13}
+    return {"op10_exact_dedup": OP10, "op11_spelling": OP11, "op12_pii": OP12, "op13_hard_negatives": OP13}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (exact_dedup, hard_negatives, html_extract, langid, mixing, pii, quality, secret_scan, simhash,
-               spiece, toxicity, url_filter)
+               spelling, spiece, toxicity, url_filter)
 from .common import read
 from .url_seeds import labelled_urls
 
@@ -70,6 +70,15 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.crc32(F.concat("id", F.lit(":"), "run"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.left("run", at), F.substring("run", at + 2, F.length("run")))
+    words = (spelling.runs(read(spark, sf, "documents")).withColumn("h", h)
+             .select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run")).alias("word")))
+    return spelling.variants(spelling.vocabulary(words))
+
+
 def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan_documents(read(spark, sf, "documents"))
 
@@ -91,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op8_langid": op8_langid,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_spelling": op11_spelling,
         "op12_pii": op12_pii,
         "op13_hard_negatives": op13_hard_negatives,
     }
