@@ -10,7 +10,7 @@ has one partition that emits it (the backward one only if the first half differs
 A partition's words form a minimised acceptor of what lies between the shared
 ends, and the composed machine is enumerated from its initial state on.
 
-A partition of more than ``limit`` code points is cut again the same way: half of
+A partition of more than ``limit`` code points and ``few`` words is cut again the same way: half of
 what is still open joins the head or the tail.  At the end only one code point is
 open, so a partition holds at most as many words as the alphabet has letters; no
 pair is lost and none is capped.  Words are counted by a partially aggregated
@@ -35,6 +35,8 @@ from .common import clean_text, map_rows
 
 #: code points of one partition's words; beyond, it is cut again
 LIMIT = 400_000
+#: words that a partition may hold however long they are
+FEW = 128
 _KEY = ["m", "a", "b", "cap", "head", "tail"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +54,7 @@ def vocabulary(words: DataFrame, least_length: int = 5, least_count: int = 3) ->
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count))
 
 
-def near_words(vocab: DataFrame, limit: int = LIMIT) -> DataFrame:
+def near_words(vocab: DataFrame, limit: int = LIMIT, few: int = FEW) -> DataFrame:
     """(word, n, near, near_n): both directions of every pair of words of
     ``vocab`` (word, n; words distinct) that differ by one inserted, deleted or
     replaced code point."""
@@ -68,15 +70,19 @@ def near_words(vocab: DataFrame, limit: int = LIMIT) -> DataFrame:
     ready = None
     while True:
         rows = write_table(rows, "spelling-partitions")
-        large = (rows.groupBy(*_KEY).agg(F.sum(F.length("word")).alias("size"))
-                 .where((F.col("size") > limit) & (F.col("m") > F.col("a") + F.col("b"))).select(*_KEY))
-        large = write_table(large, "spelling-large")
+        large = write_table(
+            rows.groupBy(*_KEY).agg(F.sum(F.length("word")).alias("size"), F.count(F.lit(1)).alias("words"))
+            .where((F.col("size") > limit) & (F.col("words") > few) & (F.col("m") > F.col("a") + F.col("b")))
+            .select(*_KEY), "spelling-large")
         none = large.isEmpty()
         fits = rows if none else rows.join(large, _KEY, "left_anti")
         ready = fits if ready is None else ready.unionByName(fits.select(*ready.columns))
         if none:
             break
-        rows = _halved(rows.join(large, _KEY, "left_semi"))
+        cut = write_table(_halved(rows.join(large, _KEY, "left_semi")), "spelling-cut")
+        # a word alone in its new partition is in no pair there
+        shared = cut.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("words")).where("words > 1").select(*_KEY)
+        rows = cut.join(shared, _KEY, "left_semi")
     laid = ready.select(*_KEY, "word", "n").repartition(*_KEY).sortWithinPartitions(*_KEY)
     # partition by partition: a task holds the words of one
     return laid.select("m", "a", "b", "cap", "word", "n").mapInArrow(
@@ -97,14 +103,14 @@ def _halved(rows: DataFrame) -> DataFrame:
                   .select("word", "n", "m", "k.a", "k.b", "k.cap"))
 
 
-def variants(vocab: DataFrame, limit: int = LIMIT, factor: int = 2) -> DataFrame:
+def variants(vocab: DataFrame, limit: int = LIMIT, factor: int = 2, few: int = FEW) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of ``vocab`` (word, n).
 
     A word's form is its near word of the largest n, if that is at least
     ``factor`` times the word's; its root is the end of the chain of forms.
     """
     vocab = write_table(vocab, "spelling-words")
-    near = near_words(vocab, limit).groupBy("word").agg(
+    near = near_words(vocab, limit, few).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("below"), "near")).alias("best"))
     best_n = -F.col("best.below")
     chosen = best_n >= F.col("n") * factor
