@@ -10,7 +10,7 @@ its dictionary, whatever the other columns hold.  The pipeline stages are
 from __future__ import annotations
 
 from pyspark import SparkContext
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -143,6 +143,14 @@ def build_pipeline(kind: str, feature_indexer: StringIndexerModel,
     ])
 
 
+def build_stages(kind: str, feature_indexer: StringIndexerModel, label_indexer: StringIndexerModel,
+                 seed: int = 42, **overrides) -> tuple[PipelineModel, object, IndexToString]:
+    """The pipeline of ``build_pipeline`` in its three parts: what is fitted already
+    (indexers and assembler), the classifier, and the inverse label."""
+    *ready, clf, inverse = build_pipeline(kind, feature_indexer, label_indexer, seed, **overrides).getStages()
+    return PipelineModel(ready), clf, inverse
+
+
 def param_grid(estimator=None, **axes) -> list[dict]:
     """Parameter maps; with no axes one empty map (a single candidate)."""
     b = ParamGridBuilder()
@@ -156,7 +164,7 @@ def evaluator(metric: str = "accuracy") -> MulticlassClassificationEvaluator:
                                              metricName=metric)
 
 
-def train(df: DataFrame, pipeline: Pipeline, folds: int = 3, seed: int = 42,
+def train(df: DataFrame, pipeline: Pipeline | Estimator, folds: int = 3, seed: int = 42,
           grid: list[dict] | None = None, parallelism: int = 1,
           fold_col: str | None = None) -> CrossValidatorModel:
     """``folds``-fold cross validation by accuracy, best map refitted on all of ``df``.
@@ -173,6 +181,17 @@ def train(df: DataFrame, pipeline: Pipeline, folds: int = 3, seed: int = 42,
     return cv.fit(df)
 
 
+def with_stages(before: PipelineModel, model, after: list) -> object:
+    """A fitted classifier, or the cross validation of one, between the stages that
+    were applied before it and those that come after."""
+    def whole(fitted) -> PipelineModel:
+        return PipelineModel([*before.stages, fitted, *after])
+    if not isinstance(model, CrossValidatorModel):
+        return whole(model)
+    out = CrossValidatorModel(whole(model.bestModel), model.avgMetrics, stdMetrics=model.stdMetrics)
+    return model._copyValues(out)
+
+
 def score(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 

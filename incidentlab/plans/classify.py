@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model as M
 from ..operators.split import combine, key_bucket, split_by_key, split_random
-from ..schemas import CATEGORY_FEATURES, NUMERIC_FEATURES
+from ..schemas import CATEGORY_FEATURES, FEATURES_COL, NUMERIC_FEATURES
 from ..session import release_tables, tables_written, write_table
 
 FOLD_COL = "__fold"
@@ -72,6 +72,9 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
     and evaluated on ``folds`` folds, and the best is refitted on all of
     ``train``.  ``grid`` may also be a function of the pipeline's classifier.
     ``folds`` below 2 leaves cross validation out.
+
+    Rows are indexed and assembled once: the folds are fitted and evaluated on a
+    written table of vector, label and fold, with ``parallelism`` of them at a time.
     """
     levels = combine(train, test) if test is not None else train
     feat_idx, label_idx = M.fit_indexers(levels, handle_invalid=handle_invalid)
@@ -79,23 +82,26 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
         if auto_max_bins and "maxBins" not in overrides:
             overrides["maxBins"] = M.max_bins_for(feat_idx)
         M.check_max_bins(feat_idx, overrides.get("maxBins", M.DEFAULT_MAX_BINS))
-    pipeline = M.build_pipeline(kind, feat_idx, label_idx, seed=seed, **overrides)
-    grid = (grid(pipeline.getStages()[3]) if callable(grid) else grid) or M.param_grid()
-    if folds and folds > 1:
-        fold_col = None
-        if key:
-            # folds fixed by a hash of the key (independent of the 70/30 buckets)
-            train = train.withColumn(FOLD_COL, (key_bucket(F.concat(F.lit("fold:"), F.col(key)
-                                                                     .cast("string")), folds)).cast("int"))
-            fold_col = FOLD_COL
-        return M.train(train, pipeline, folds=folds, seed=seed, grid=grid,
-                       parallelism=parallelism, fold_col=fold_col)
-    return pipeline.fit(train, grid[0])
+    ready, clf, inverse = M.build_stages(kind, feat_idx, label_idx, seed=seed, **overrides)
+    grid = (grid(clf) if callable(grid) else grid) or M.param_grid()
+    folded = bool(folds and folds > 1)
+    fold_col = FOLD_COL if folded and key else None
+    if fold_col:
+        # folds fixed by a hash of the key (independent of the 70/30 buckets)
+        train = train.withColumn(FOLD_COL, (key_bucket(F.concat(F.lit("fold:"), F.col(key)
+                                                                 .cast("string")), folds)).cast("int"))
+    vectors = M.score(ready, train).select(FEATURES_COL, M.LABEL_INDEXED, *([fold_col] if fold_col else []))
+    if folded:
+        model = M.train(write_table(vectors, "vectors"), clf, folds=folds, seed=seed, grid=grid,
+                        parallelism=parallelism, fold_col=fold_col)
+    else:
+        model = clf.fit(vectors, grid[0])
+    return M.with_stages(ready, model, [inverse])
 
 
 def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 42,
                    key: str | None = "Id", train_pct: int = 70, checkpoint: bool = True,
-                   evaluate: bool = True, parallelism: int = 1, grid: list[dict] | None = None,
+                   evaluate: bool = True, parallelism: int = 3, grid: list[dict] | None = None,
                    **overrides) -> ClassifierRun:
     """The whole classifier job over enriched incidents.
 
