@@ -29,6 +29,7 @@ class ClassifierRun:
     kind: str
     model: object
     predictions: DataFrame
+    train: DataFrame | None = None
     accuracy: float | None = None
     importances: DataFrame | None = None
     best_params: dict = field(default_factory=dict)
@@ -115,7 +116,7 @@ def run_classifier(enriched: DataFrame, kind: str, folds: int = 3, seed: int = 4
     model = fit_models(train, test, kind, folds=folds, seed=seed, parallelism=parallelism,
                        grid=grid, key=key, **overrides)
     scored = M.score(model, test)
-    run = ClassifierRun(kind=kind, model=model, predictions=scored, _mark=mark if checkpoint else None)
+    run = ClassifierRun(kind=kind, model=model, predictions=scored, train=train, _mark=mark if checkpoint else None)
     if evaluate:
         run.accuracy = M.accuracy(scored)
     run.importances = M.feature_importance(model, enriched.sparkSession)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from ..schemas import CATEGORY_FEATURES, LABEL_COL, NUMERIC_FEATURES, PREDICTION_COLUMNS, incident_schema
+from ..schemas import (CATEGORY_FEATURES, DEFAULT_MAX_BINS, LABEL_COL, NUMERIC_FEATURES,
+                       PREDICTION_COLUMNS, incident_schema)
 from ..sources import testdata as td
 from ..sources.spine import SF_LAT, SF_LNG, SUN_URL_TEMPLATE, WEATHER_URL_TEMPLATE
 from ..sources.testdata import TEST_POLYGONS
@@ -371,4 +372,51 @@ def oracle_sql() -> dict[str, str]:
     q["predictions_csv"] = q["nb_predictions"]
     q["nb_accuracy"] = (nb + " SELECT CAST(sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS DOUBLE)"
                         " / count(*) AS accuracy FROM best")
-    return q
+    return q | _tree_sql(plain)
+
+
+def _tree_sql(plain: str) -> dict[str, str]:
+    """Everything a fitted tree says, from a tree grown in SQL."""
+    from . import tree_oracles as T
+    start = "WITH " + ENRICHED.replace("enriched AS (", "enriched AS MATERIALIZED (", 1) + FREQUENCY
+    deep = start + T.tree_ctes(10, DEFAULT_MAX_BINS)
+    flat = start + T.tree_ctes(4, DEFAULT_MAX_BINS)
+    names = "[" + ", ".join(f"'{c}Indexed'" for c in CATEGORY_FEATURES) + ", " + ", ".join(
+        f"'{c}'" for c in NUMERIC_FEATURES) + "]"
+    n_cat = len(CATEGORY_FEATURES)
+
+    def splits(depth: int) -> str:
+        ranked = " UNION ALL ".join(f"SELECT node, f, v, place FROM ranked{d}" for d in range(depth))
+        # the levels that go left: the bits of a two-set cut, or the first in order of impurity
+        return f""", lefts AS (
+  SELECT s.node, string_agg(v::INT::VARCHAR, ',' ORDER BY v) AS levels FROM (
+    SELECT s.node, r.v FROM splits s JOIN ({ranked}) r ON r.node = s.node AND r.f = s.f AND r.place <= s.place
+    UNION ALL SELECT node, v FROM (SELECT node, place, unnest(range(31)) AS v FROM splits JOIN few USING (f)
+              WHERE place = s) WHERE (place::BIGINT >> v::INT) & 1 = 1) s GROUP BY s.node),
+said AS (
+  SELECT s.node, {names}[f + 1] AS feature, CASE WHEN f >= {n_cat} THEN round(cut, 9) END AS threshold,
+         CASE WHEN f >= {n_cat} THEN '' ELSE levels END AS left_levels, round(gain, 9) AS gain, n::BIGINT AS n
+  FROM splits s LEFT JOIN lefts USING (node)) """
+    rows = ", ".join(f'e.{c.strip()}' for c in plain.split(","))
+    predicted = (f" SELECT e.Id, {rows}, lab.value AS PredictedCategory FROM ends b JOIN enriched e ON e.Id = b.Id"
+                 f" JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.idx = b.prediction WHERE NOT b.in_train")
+    slots = ", ".join(f"x[{j + 1}] AS x{j}" for j in range(n_cat + len(NUMERIC_FEATURES)))
+    return {
+        "assembled_features": start + T.vector_ctes(DEFAULT_MAX_BINS) + f" SELECT Id, y AS label, {slots} FROM vec",
+        "dt_predictions": deep + predicted,
+        "dt_accuracy": deep + (" SELECT CAST(sum(CASE WHEN prediction = y THEN 1 ELSE 0 END) AS DOUBLE) / count(*)"
+                               " AS accuracy FROM ends WHERE NOT in_train"),
+        "dt_importance": deep + T.importance_sql(),
+        "dt_importance_from_rows": deep + T.importance_sql(),
+        "dt_splits": deep + splits(10) + "SELECT * FROM said",
+        # a row's place in the tree that is left when leaves of one prediction are one
+        "dt_leaf_rows": deep + f""", way AS (
+  SELECT Id, prediction, node >> unnest(range(11)) AS node FROM ends WHERE NOT in_train),
+leaf AS (SELECT Id, prediction, max(node) AS node FROM way
+         WHERE node = 1 OR (node >> 1) IN (SELECT node FROM splits) GROUP BY Id, prediction)
+SELECT l.node, e.{LABEL_COL}, lab.value AS PredictedCategory, count(*) AS n
+FROM leaf l JOIN enriched e USING (Id) JOIN freq lab ON lab.feature = '{LABEL_COL}' AND lab.idx = l.prediction
+GROUP BY ALL""",
+        "rf_plain_splits": flat + splits(4) + "SELECT tree, said.* FROM said, (SELECT unnest([0, 1, 2])::INT AS tree)",
+        "rf_plain_predictions": flat + predicted,
+    }

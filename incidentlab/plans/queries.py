@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from ..operators.features import address_features, day_night_feature, time_featu
 from ..operators.geo import with_neighborhood
 from ..operators.joins import with_weather
 from ..operators.split import key_bucket, split_by_key, split_random
+from ..operators.trees import importance_from_rows, route, tree_nodes
 from ..operators.weather import daily_weather
-from ..schemas import CATEGORY_FEATURES, LABEL_COL, PREDICTED_COL, PREDICTION_COLUMNS, incident_schema
-from ..session import scratch_path
+from ..schemas import (CATEGORY_FEATURES, FEATURES_COL, LABEL_COL, NUMERIC_FEATURES, PREDICTED_COL,
+                       PREDICTION_COLUMNS, incident_schema)
+from ..session import scratch_path, write_table
 from ..sources import testdata as td
 from ..sources.files import (read_daily_weather, read_incidents, read_polygons,
                               read_predictions, read_sun_times)
@@ -26,7 +30,7 @@ from .enrich import enrich_incidents
 from .oracles import ENRICHED_COLUMNS
 from .tables import request_list, weather_table
 
-WEATHER_DECIMALS = 9
+WEATHER_DECIMALS = IMPORTANCE_DECIMALS = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -293,11 +297,71 @@ def _accuracy(kind: str):
 def _importance(kind: str):
     def q(spark: SparkSession, sf: str) -> DataFrame:
         run = run_classifier(enriched(spark, sf), kind, evaluate=False)
-        return run.importances
+        return run.importances.withColumn("importance", F.round("importance", IMPORTANCE_DECIMALS))
     q.__name__ = f"q_{kind}_importance"
     return q
 
 
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, object]:
+    """The enriched rows indexed and assembled, and the label's indexer."""
+    rows = write_table(enriched(spark, sf), "enriched")
+    feat, label = M.fit_indexers(rows)
+    ready, _, _ = M.build_stages("dt", feat, label)
+    return M.score(ready, rows), label
+
+
+def q_assembled_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree's input vector, slot by slot in its order, and the label's index."""
+    rows, _ = _vectors(spark, sf)
+    slots = vector_to_array(FEATURES_COL)
+    n = len(CATEGORY_FEATURES + NUMERIC_FEATURES)
+    return rows.select("Id", F.col(M.LABEL_INDEXED).alias("label"),
+                       *[F.get(slots, F.lit(j)).alias(f"x{j}") for j in range(n)])
+
+
+#: a forest without chance: every tree sees all rows and all features
+PLAIN_FOREST = {"numTrees": 3, "bootstrap": False, "featureSubsetStrategy": "all"}
+
+
+def _split_rows(nodes: DataFrame) -> DataFrame:
+    return nodes.where("feature is not null").select(
+        "tree", "node", F.col("name").alias("feature"), F.round("threshold", 9).alias("threshold"),
+        F.concat_ws(",", F.transform("left_levels", lambda v: v.cast("string"))).alias("left_levels"),
+        F.round("gain", IMPORTANCE_DECIMALS).alias("gain"), F.col("n").cast("long").alias("n"))
+
+
+def q_dt_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every split of the fitted tree: root, second level and all below."""
+    run = run_classifier(enriched(spark, sf), "dt", folds=0, evaluate=False)
+    return _split_rows(tree_nodes(run.model, spark)).drop("tree")
+
+
+def q_rf_plain_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every split of a forest whose trees see all rows and features."""
+    run = run_classifier(enriched(spark, sf), "rf", folds=0, evaluate=False, **PLAIN_FOREST)
+    return _split_rows(tree_nodes(run.model, spark))
+
+
+def q_rf_plain_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    run = run_classifier(enriched(spark, sf), "rf", evaluate=False, **PLAIN_FOREST)
+    return run.predictions.select("Id", *PREDICTION_COLUMNS)
+
+
+def q_dt_importance_from_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree's importances recomputed from the training rows routed through it."""
+    run = run_classifier(enriched(spark, sf), "dt", folds=0, evaluate=False)
+    rows = M.score(PipelineModel(run.model.stages[:3]), run.train)
+    return (importance_from_rows(run.model, rows)
+            .withColumn("importance", F.round("importance", IMPORTANCE_DECIMALS)))
+
+
+def q_dt_leaf_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out rows per leaf of the fitted tree and label."""
+    run = run_classifier(enriched(spark, sf), "dt", folds=0, evaluate=False)
+    rows = route(run.predictions.drop("tree", "node"), tree_nodes(run.model, spark))
+    return rows.groupBy("node", LABEL_COL, PREDICTED_COL).agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "time_features": q_time_features,
@@ -346,4 +410,10 @@ def queries() -> dict[str, Query]:
         "dt_accuracy": _accuracy("dt"),
         "rf_accuracy": _accuracy("rf"),
         "lr_accuracy": _accuracy("lr"),
+        "assembled_features": q_assembled_features,
+        "dt_splits": q_dt_splits,
+        "dt_leaf_rows": q_dt_leaf_rows,
+        "dt_importance_from_rows": q_dt_importance_from_rows,
+        "rf_plain_splits": q_rf_plain_splits,
+        "rf_plain_predictions": q_rf_plain_predictions,
     }
