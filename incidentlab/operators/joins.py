@@ -1,18 +1,33 @@
 """Joins of incidents with per-day tables (sun times, daily weather).
 
 A per-day table holds one row per calendar date, so it stays small however
-many incidents there are.  No broadcast is forced: Spark knows the size of a
-table read from files when it plans, and that of a derived one when its stage
-has run (AQE), and broadcasts the side if it is under
-``spark.sql.autoBroadcastJoinThreshold``; a larger side goes through an
-ordinary shuffle join, where AQE splits hot dates.  Building the plan runs no
-job and keeps nothing cached.
+many incidents there are.  Spark, though, judges a derived table by the size of
+what it is derived from: the day table of a terabyte of readings would be
+shuffled, and the incidents with it.  So a table that Spark takes for larger
+than ``spark.sql.autoBroadcastJoinThreshold`` is built first and written to the
+shared checkpoint folder, and the join is planned with its measured size: it is
+broadcast if it really is under the threshold.  Only a larger one goes through an
+ordinary shuffle join, where AQE splits hot dates.  A table that Spark knows to
+be small is left as it is: building the plan then runs no job, and a replaced day
+file is seen by the next join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..session import write_table
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 where broadcasts are off."""
+    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``: from its files, or from what it is derived from."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
 
 def _day_table(table: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """The key and the wanted columns (any casing), named as the incident side
@@ -23,9 +38,12 @@ def _day_table(table: DataFrame, key: str, columns: dict[str, str]) -> DataFrame
         out = named.get(c.lower())
         if out and out not in found:
             found[out] = table[c].alias(out)
+    table = table.select(*found.values())
+    if 0 <= broadcast_limit(table) < estimated_bytes(table):
+        table = write_table(table, "day-table")
     # a derived table may already lie by date, which would keep AQE from splitting
     # a hot date of the other side; this small exchange sets the join free
-    return table.select(*found.values()).hint("rebalance")
+    return table.hint("rebalance")
 
 
 def assert_unique_dates(table: DataFrame, key: str = "date") -> None:

@@ -394,7 +394,7 @@ def _tree_sql(plain: str) -> dict[str, str]:
     UNION ALL SELECT node, v FROM (SELECT node, place, unnest(range(31)) AS v FROM splits JOIN few USING (f)
               WHERE place = s) WHERE (place::BIGINT >> v::INT) & 1 = 1) s GROUP BY s.node),
 said AS (
-  SELECT s.node, {names}[f + 1] AS feature, CASE WHEN f >= {n_cat} THEN round(cut, 9) END AS threshold,
+  SELECT s.node, {names}[f + 1] AS feature, CASE WHEN f >= {n_cat} THEN cut END AS threshold,
          CASE WHEN f >= {n_cat} THEN '' ELSE levels END AS left_levels, round(gain, 9) AS gain, n::BIGINT AS n
   FROM splits s LEFT JOIN lefts USING (node)) """
     rows = ", ".join(f'e.{c.strip()}' for c in plain.split(","))

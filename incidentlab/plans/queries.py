@@ -325,7 +325,7 @@ PLAIN_FOREST = {"numTrees": 3, "bootstrap": False, "featureSubsetStrategy": "all
 
 def _split_rows(nodes: DataFrame) -> DataFrame:
     return nodes.where("feature is not null").select(
-        "tree", "node", F.col("name").alias("feature"), F.round("threshold", 9).alias("threshold"),
+        "tree", "node", F.col("name").alias("feature"), "threshold",
         F.concat_ws(",", F.transform("left_levels", lambda v: v.cast("string"))).alias("left_levels"),
         F.round("gain", IMPORTANCE_DECIMALS).alias("gain"), F.col("n").cast("long").alias("n"))
 

@@ -49,3 +49,29 @@ def test_training_reads_written_table_columns_only(spark):
     plan = executed(E.queries()["frequency_index"](spark, SF_SMALL))
     read = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
     assert read and all("Timestamp" not in r and "sunrise" not in r for r in read)
+
+
+def test_day_tables_of_large_readings_are_built_first_and_broadcast(spark):
+    """Readings beyond the broadcast limit, a day table far below it: no incident
+    is exchanged by date; a day table that is larger itself may be."""
+    from pyspark.sql import functions as F
+    from incidentlab.operators.joins import broadcast_limit, estimated_bytes, with_weather
+    from incidentlab.operators.weather import daily_weather
+    from incidentlab.plans.queries import _daily
+    from conftest import SF_ORACLE
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100kb")
+    try:
+        assert estimated_bytes(_daily(spark, SF_ORACLE)) > broadcast_limit(spark.range(1)) == 100 * 1024
+        for name in ("weather_join", "enriched"):
+            plan = executed(E.queries()[name](spark, SF_ORACLE))
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert not [l for l in plan.split("\n") if "hashpartitioning(Date" in l]
+        wide = spark.range(5000).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")),
+                                                      "yyyy-MM-dd").alias("date"), F.rand(1).alias("temp"),
+                                        F.sha2(F.col("id").cast("string"), 512).alias("weather"))
+        inc = spark.range(100).select(F.lit("2003-05-13").alias("Date"), "id")
+        large = with_weather(inc, wide.union(wide.limit(0)).distinct())
+        assert large.count() == 100 and "SortMergeJoin" in executed(large)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

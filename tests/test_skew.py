@@ -76,3 +76,29 @@ def test_hot_date_rollup_is_whole(spark):
     hot = readings.filter("date = 'hot'").agg(F.avg("temp")).first()[0]
     assert got["hot"].temperatureC == pytest.approx(hot) and got["hot"].weather == "Clear"
     assert len(got) == 101
+
+
+def test_hot_row_of_the_keyless_split_is_dealt_over_tasks(skew_conf):
+    spark = skew_conf
+    from incidentlab.operators.split import numbered_rows
+    rows = spark.range(0, 30000, 1, 12).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("v"), F.lit(None).cast("string").alias("__n"))
+    got = numbered_rows(rows, copies=500).withColumn("task", F.spark_partition_id())
+    assert got.count() == 30000 and got.columns[:2] == rows.columns
+    assert got.groupBy("v", "__copy").count().where("count > 1").isEmpty()
+    hot = got.where("v = -1")
+    assert hot.agg(F.min("__copy"), F.max("__copy")).first()[:] == (1, 10000)
+    per_task = [r["count"] for r in hot.groupBy("task").count().collect()]
+    assert len(per_task) >= 4 and max(per_task) < 6000
+
+
+def test_keyless_split_is_the_same_on_any_layout(spark):
+    from incidentlab.operators.split import split_random
+    rows = spark.range(4000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.lit(0.5)).alias("b"))
+
+    def halves(df):
+        return [sorted(map(str, part.collect())) for part in split_random(df, (0.7, 0.3), 3)]
+    want = halves(rows.coalesce(1))
+    assert sum(map(len, want)) == 4000 and 2600 < len(want[0]) < 3000
+    for n in (2, 5):
+        assert halves(rows.repartition(n, "a")) == want

@@ -9,6 +9,7 @@ from incidentlab.operators import trees as T
 from incidentlab.plans.classify import run_classifier
 from incidentlab.plans.queries import PLAIN_FOREST, enriched
 from incidentlab.plans.tree_oracles import few_levels
+from incidentlab.session import write_table
 
 from conftest import SF_SMALL
 
@@ -68,7 +69,7 @@ def test_tree_without_a_split(spark, data):
 
 def test_routing_broadcasts_the_model_and_shuffles_no_row(spark, data):
     run = run_classifier(data, "dt", folds=0, evaluate=False, maxDepth=3)
-    plan = T.route(vectors(run, data), T.tree_nodes(run.model, spark))._jdf.queryExecution().executedPlan().toString()
+    plan = T.route(write_table(vectors(run, data), "vectors"), T.tree_nodes(run.model, spark))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
