@@ -6,7 +6,9 @@ name-literal pairs in source and configuration syntax (``name = "x"``,
 ``name: x``, ``"name": "x"``, ``name := x``, ``map["name"] = "x"``, typed
 declarations, joined string parts), literals bound to a name are carried on to
 later assignments from that name, and each literal is scored by how sensitive
-its target names are and how much it looks like a credential.
+its target names are and how much it looks like a credential.  A literal of more
+than ``MAX_LITERAL`` characters is data, not a credential.  Any text is lexed in
+time proportional to its length.
 
 Spans are (kind, start, end) in code points, end exclusive, over the whole text.
 Edge cases: null counts as empty and has no spans; repeated rows repeat their
@@ -40,15 +42,15 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 # -- lexing
 
 _BINDS = re.compile(r"[=:]")
-# the target before = or : (plain, dotted, quoted or subscripted), with an optional type
-_TARGET = re.compile(
-    r"""(?:([A-Za-z_$][\w$.\-]*)|["']([^"'\n]+)["'])\s*(?:\[\s*["']([^"'\n]+)["']\s*\]|"""
-    r"""(?::\s*[A-Za-z_][\w.\[\]<>, ]*))?[ \t]*:?[ \t]*$""")
-_PIECE = re.compile(r"""[ \t]*(?:"((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]]+))""")
+_QUOTED = re.compile(r"""[ \t]*(?:"((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`)""")
+_BLANK = re.compile(r"[ \t]*")
+_RUN = re.compile(r"""[^\s"'`,;(){}\[\]]*""")
 _JOIN = re.compile(r"[ \t]*\+(?!=)")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*$")
-#: characters before = or : in which its target name is looked for
-_TARGET_CHARS = 200
+#: characters that a type may be written with
+_TYPE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.[]<>, \t")
+#: a longer literal, joined from parts or not, is data and no credential
+MAX_LITERAL = 4096
 
 # how sensitive a word of a target name is
 _WORDS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "pass": 0.8, "pw": 0.8,
@@ -77,7 +79,7 @@ def name_score(name: str) -> float:
 
 def literal_score(text: str) -> float:
     """0..1: how much a literal looks like a credential."""
-    if len(text) < 8 or any(c.isspace() for c in text) or _PLACEHOLDER.search(text):
+    if not 8 <= len(text) <= MAX_LITERAL or any(c.isspace() for c in text) or _PLACEHOLDER.search(text):
         return 0.0
     counts = Counter(text)
     bits = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
@@ -86,7 +88,69 @@ def literal_score(text: str) -> float:
     return min(1.0, 0.2 * classes + bits / 8 + min(len(text), 32) / 100)
 
 
-def _binding(text: str, at: int) -> tuple[str, list[tuple[str, int, int]], list[str]] | None:
+def _back(text: str, at: int, chars) -> int:
+    """The start of the run of ``chars`` (a set, or a test) that ends at ``at``."""
+    test = chars if callable(chars) else chars.__contains__
+    while at and test(text[at - 1]):
+        at -= 1
+    return at
+
+
+def _in_name(c: str) -> bool:
+    return c.isalnum() or c in "_$.-"
+
+
+def _name_before(text: str, at: int) -> str | None:
+    """The plain, quoted or subscripted name that ends at ``at``, blanks aside.
+
+    Looks at no character twice for two binding signs but for the blanks and
+    quotes around a name, so a text is lexed in linear time.
+    """
+    at = _back(text, at, " \t")
+    last = text[at - 1] if at else ""
+    if last == "]":
+        end = _back(text, at - 1, " \t")
+        if not end or text[end - 1] not in "\"'":
+            return None
+        at, last = end, text[end - 1]
+    if last in ("'", '"'):
+        start = text.rfind(last, 0, at - 1)
+        name = text[start + 1:at - 1] if start >= 0 else ""
+        return name if name and len(name) <= MAX_LITERAL and "\n" not in name else None
+    start = _back(text, at, _in_name)
+    while start < at and not (text[start].isalpha() or text[start] in "_$"):
+        start += 1
+    return text[start:at] or None
+
+
+def _target(text: str, at: int) -> str | None:
+    """The name that the binding sign at ``at`` binds."""
+    end = _back(text, at, " \t")
+    if text[at] == "=" and end and text[end - 1] == ":":
+        return _name_before(text, end - 1)                 # name := value
+    if text[at] == "=" and end:
+        start = _back(text, end, _TYPE)                     # name: some type = value
+        kind = text[start:end].lstrip()
+        if start and text[start - 1] == ":" and (kind[:1].isalpha() or kind[:1] == "_"):
+            typed = _name_before(text, start - 1)
+            if typed:
+                return typed
+    return _name_before(text, end)
+
+
+class _Runs:
+    """Ends of unquoted runs; a run is read once, however many signs it holds."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, 0, 0
+
+    def end_of(self, at: int) -> int:
+        if not self.start <= at < self.end:
+            self.start, self.end = at, _RUN.match(self.text, at).end()
+        return self.end
+
+
+def _binding(text: str, at: int, runs: _Runs) -> tuple[str, list[tuple[str, int, int]], list[str]] | None:
     """(target name, literals, names referred to) of the = or : at ``at``."""
     nxt = text[at + 1:at + 2]
     if nxt == "=" and text[at] == "=" or text[at - 1:at] in ("=", "!", "<", ">") or nxt == ":" \
@@ -94,56 +158,91 @@ def _binding(text: str, at: int) -> tuple[str, list[tuple[str, int, int]], list[
         return None
     if text[at] == ":" and nxt == "=":
         return None                                     # taken at its =
-    near = max(0, at - _TARGET_CHARS)
-    found = _TARGET.search(text, max(near, text.rfind("\n", near, at) + 1), at)
-    if not found:
+    target = _target(text, at)
+    if not target:
         return None
-    target = found[3] or found[2] or found[1]
     place = at + 1 + (nxt == ">" and text[at] == "=")
     literals, names = [], []
     while True:
-        piece = _PIECE.match(text, place)
-        if not piece:
+        piece = _QUOTED.match(text, place)
+        if piece:
+            start, end = piece.span(piece.lastindex)
+            after = piece.end()
+        else:
+            start = _BLANK.match(text, place).end()
+            end = after = runs.end_of(start)
+        if start == end and not piece or end - start > MAX_LITERAL:
             break
-        group = piece.lastindex
-        value, start, end = piece[group], piece.start(group), piece.end(group)
-        if group < 4:
+        value = text[start:end]
+        if piece:
             literals.append((value, start, end))
+        elif place > at + 2 and _BINDS.search(value):
+            break                                       # the next pair, not a part of this one
         elif _NAME.match(value):
             names.append(value)
             if text[at] == ":" or at == 0 or text[at - 1] not in " \t":   # unquoted configuration value
                 literals.append((value, start, end))
         else:
             literals.append((value, start, end))
-        join = _JOIN.match(text, piece.end())
+        join = _JOIN.match(text, after)
         if not join:
             break
         place = join.end()
     return target, literals, names
 
 
+class _Value:
+    """What an assignment binds: literals of its own and the values it refers to."""
+
+    __slots__ = ("literals", "of", "text", "weight", "whole")
+
+    def __init__(self, literals: list[tuple[str, int, int]], of: list[_Value]):
+        self.literals, self.of = literals, of
+        text = "".join(x[0] for x in literals)
+        for value in of:
+            text = None if text is None or value.text is None else text + value.text
+            if text is None or len(text) > MAX_LITERAL:
+                text = None
+        self.text = text                 # joined, if that is short enough to be one credential
+        self.weight = self.whole = 0.0   # of the most sensitive names it reaches
+
+
 def literal_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that sensitive names are bound to."""
-    best: dict[tuple[int, int], float] = {}
-    bound: dict[str, list[tuple[str, int, int]]] = {}
+    """(start, end, score) of literals that sensitive names are bound to, directly
+    or through other names.
+
+    An assignment keeps references to the values it uses, so what a name carries is
+    never copied out; the sensitivity of names flows back through the references
+    once, from the last assignment to the first.
+    """
+    runs = _Runs(text)
+    bound: dict[str, _Value] = {}
+    values: list[_Value] = []
     for hit in _BINDS.finditer(text):
-        pair = _binding(text, hit.start())
+        pair = _binding(text, hit.start(), runs)
         if pair is None:
             continue
         target, literals, names = pair
-        carried = [x for n in names for x in bound.get(n, ())]
+        carried = list({id(bound[n]): bound[n] for n in names if n in bound}.values())
         if carried:
-            literals = [x for x in literals if x[0] not in names] + carried
-        if not literals:
+            literals = [x for x in literals if x[0] not in names]
+        if not literals and not carried:
             continue
+        value = _Value(literals, carried)
+        values.append(value)
         if _NAME.match(target):
-            bound[target] = literals
-        weight = name_score(target)
-        if weight <= 0:
+            bound[target] = value
+        value.weight = name_score(target)
+        if value.weight > 0:
+            value.whole = value.weight * literal_score(value.text or "")
+    best: dict[tuple[int, int], float] = {}
+    for value in reversed(values):
+        if value.weight <= 0:
             continue
-        whole = literal_score("".join(x[0] for x in literals))
-        for value, start, end in literals:
-            score = round(weight * max(whole, literal_score(value)), 6)
+        for used in value.of:
+            used.weight, used.whole = max(used.weight, value.weight), max(used.whole, value.whole)
+        for literal, start, end in value.literals:
+            score = round(max(value.whole, value.weight * literal_score(literal)), 6)
             if score >= min_score and end > start:
                 best[start, end] = max(best.get((start, end), 0.0), score)
     return sorted((a, b, s) for (a, b), s in best.items())

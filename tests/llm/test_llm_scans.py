@@ -1,6 +1,7 @@
 """Secret scan and HTML extraction."""
 
 import hashlib
+import time
 import re
 
 import duckdb
@@ -116,3 +117,15 @@ def test_pages_operator(spark):
                           for i, u, h in rows), key=str)
     assert html_extract.extract_pages(df.limit(0)).count() == 0
     assert queries.op6_html_extract(spark, SF_ORACLE).count() == 250
+
+
+@pytest.mark.parametrize("text, want", [
+    ('a0 = "Zx81kkQQ9"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(1000)) + "password = a1000", 1),
+    ("".join(f'b{i + 1} = b{i} + "x{i}q"\n' for i in range(20_000)) + "secret = b20000", 0),
+    ("k=123&" * 800_000, 0), (":".join(["de", "ad"] * 800_000), 0), ("a=1 + " * 200_000, 0), ("deadbeef" * 600_000, 0),
+    ("a" * 2_000_000 + " = 5", 0), ('"\']=\'] =' * 100_000, 0), ("a b c, " * 200_000 + "= 5", 0),
+    ("x" * 500 + '_password = "hunter2hunter2X9"', 1), ("password = " + "aB3" * 2000, 0)])
+def test_any_text_is_lexed_in_linear_time(text, want):
+    t0 = time.perf_counter()
+    assert len(secret_scan.literal_spans(text)) == want
+    assert time.perf_counter() - t0 < 40
