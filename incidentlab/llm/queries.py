@@ -30,7 +30,8 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     labelled = spark.createDataFrame(labelled_urls(), "url string, blocked int")
-    return url_filter.judge(read(spark, sf, "pages"), url_filter.train(labelled), RULES)
+    return url_filter.judge(read(spark, sf, "pages"), url_filter.train(labelled), RULES,
+                            threshold=url_filter.held_out_threshold(labelled))
 
 
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 GRAMS = (3, 4, 5)
 FEATURES = 1 << 16
 #: urls the model is fitted on at most (the labelled table is small by contract)
@@ -68,22 +70,51 @@ def features(df: DataFrame, url: str, out: str) -> DataFrame:
     return df.withColumn(out, F.concat(_grams(host, "h"), _grams(path, "p")))
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked") -> PipelineModel:
-    """Model of a small labelled table: ``blocked`` 1 or 0 per url.  Rows without
-    a label are left out; at most ``MAX_LABELLED`` rows, by hash order, are used."""
-    rows = (labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
-            .where("label IS NOT NULL"))
-    rows = features(rows, "url", "grams").orderBy(F.xxhash64("url"), "label").limit(MAX_LABELLED)
+def _fit(rows: DataFrame) -> PipelineModel:
     # both classes weigh the same
     ones = rows.agg(F.avg("label")).first()[0] or 0.5
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / ones).otherwise(0.5 / max(1 - ones, 1e-9)))
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-    lr = LogisticRegression(regParam=0.0005, maxIter=50, standardization=False, weightCol="weight")
-    train_rows = hashed.transform(rows).coalesce(1).persist()
-    try:
-        return PipelineModel([hashed, lr.fit(train_rows)])
-    finally:
-        train_rows.unpersist()
+    lr = LogisticRegression(regParam=0.0001, maxIter=60, standardization=False, weightCol="weight")
+    return PipelineModel([hashed, lr.fit(hashed.transform(rows))])
+
+
+def _labelled(labelled: DataFrame, url_col: str, label_col: str) -> DataFrame:
+    """The rows to fit on: labelled, at most ``MAX_LABELLED`` by hash order, written once."""
+    rows = (labelled.select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("double").alias("label"))
+            .where("label IS NOT NULL"))
+    return write_table(features(rows, "url", "grams").orderBy(F.xxhash64("url"), "label").limit(MAX_LABELLED), "urls")
+
+
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked") -> PipelineModel:
+    """Model of a small labelled table: ``blocked`` 1 or 0 per url.  Rows without
+    a label are left out; at most ``MAX_LABELLED`` rows, by hash order, are used."""
+    return _fit(_labelled(labelled, url_col, label_col))
+
+
+def held_out(labelled: DataFrame, folds: int = 3, url_col: str = "url", label_col: str = "blocked") -> DataFrame:
+    """(url, label, p_block) of every labelled row by a model that saw no url of its
+    host (www, m and blog aside)."""
+    rows = _labelled(labelled, url_col, label_col)
+    host, _ = host_and_path("url")
+    site = F.regexp_replace(host, r"^(www|m|blog)\.", "")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(site), F.lit(folds)))
+    p = vector_to_array("probability")[1]
+    out = None
+    for k in range(folds):
+        part = _fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)).select(
+            "url", "label", p.alias("p_block"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def held_out_threshold(labelled: DataFrame, wrongly_blocked: float = 0.02, folds: int = 3) -> float:
+    """The least threshold at which at most this share of ordinary held-out sites
+    would be blocked."""
+    if labelled.limit(1).isEmpty():
+        return THRESHOLD
+    p = held_out(labelled, folds).where("label = 0").agg(F.percentile("p_block", 1 - wrongly_blocked)).first()[0]
+    return THRESHOLD if p is None else max(float(p), 1e-9)
 
 
 def judge(pages: DataFrame, model: PipelineModel, rules: list[Rule], id_col: str = "page_id",
@@ -96,6 +127,6 @@ def judge(pages: DataFrame, model: PipelineModel, rules: list[Rule], id_col: str
     p = vector_to_array("probability")[1]
     won = best_rule(F.col("host"), F.col("path"), rules)
     scored = model.transform(rows).select("id", "host", "path", won.alias("won"), p.alias("p_block"))
-    blocked = F.coalesce(F.col("won.is_block"), F.col("p_block") >= threshold)
+    blocked = F.coalesce(F.col("won.is_block"), F.col("p_block") > threshold)
     return scored.select(F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"),
                          F.when(blocked, "block").otherwise("allow").alias("verdict"), "p_block")
