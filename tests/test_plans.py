@@ -70,8 +70,9 @@ def test_day_tables_of_large_readings_are_built_first_and_broadcast(spark):
         wide = spark.range(5000).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")),
                                                       "yyyy-MM-dd").alias("date"), F.rand(1).alias("temp"),
                                         F.sha2(F.col("id").cast("string"), 512).alias("weather"))
-        inc = spark.range(100).select(F.concat(F.lit("2003-05-"), (F.col("id") % 20 + 10).cast("string")).alias("Date"), "id")
+        inc = spark.range(100_000).select(F.concat(F.lit("2003-05-"), (F.col("id") % 20 + 10).cast("string")).alias("Date"),
+                                          F.sha2(F.col("id").cast("string"), 256).alias("id"))
         large = with_weather(inc, wide.union(wide.limit(0)).distinct())
-        assert large.count() == 100 and "SortMergeJoin" in executed(large)
+        assert large.count() == 100_000 and "SortMergeJoin" in executed(large)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
