@@ -1,6 +1,7 @@
 """Secret scan and HTML extraction."""
 
 import hashlib
+import math
 import time
 import re
 
@@ -99,6 +100,58 @@ def test_deep_and_long_pages_are_parsed_whole():
     assert html_extract.extract(page).count("\n") == 19_999
 
 
+BOXED = """<body><article class="share"><h1>The title</h1>
+<p class="related">A first paragraph under a class name that tells nothing, with commas, and a stop.</p>
+<div><ul><li><a href=/a>Menu one</a></li><li><a href=/b>Menu two</a></li></ul></div>
+<p>The second paragraph is somewhat longer, has two sentences, and closes. Here it ends.</p>
+<div><h3>You may like</h3><div><a href=/c>Another story about things</a></div></div>
+<div><span>Buy now</span></div><h2>A part</h2>
+<ul><li>flour, 200 g</li><li>milk, half a litre</li><li>two eggs</li></ul>
+<p>Short one.</p><div class="ad-slot">Cheap watches, only today, for you.</div>
+<p>The last paragraph, which has a <a href=/d>link</a> in it, says goodbye to everyone, kindly.</p></article>
+<div class="comments"><p>A reader says a lot, at length, with commas; and then again, more of it. And more.</p></div></body>"""
+
+
+def test_boxes_inside_the_article_fail_by_their_paths(monkeypatch):
+    want = """The title
+A first paragraph under a class name that tells nothing, with commas, and a stop.
+The second paragraph is somewhat longer, has two sentences, and closes. Here it ends.
+A part
+flour, 200 g
+milk, half a litre
+two eggs
+Short one.
+The last paragraph, which has a link in it, says goodbye to everyone, kindly."""
+    assert html_extract.extract(BOXED) == want
+    # outside <article> and <main> these two class names count
+    plain = BOXED.replace("article", "section").replace('class="share"', "").replace('class="related"', "")
+    assert html_extract.extract(plain) == want
+    # without the scores the boxes come through
+    monkeypatch.setattr(html_extract, "path_scores", lambda units: {u.path: 1.0 for u in units})
+    got = html_extract.extract(BOXED)
+    assert got != want and "Buy now" in got and "Menu one" in got and "You may like" in got
+
+
+def test_path_scores_against_the_formula():
+    units = html_extract._units(html_extract.parse("<div><p>One, two.</p><p>Three.</p></div><div>four <a>five</a></div>"))
+    got = html_extract.path_scores(units)
+    length, marks = [(9 + 6) / 2, (9 + 6) / 2, 5], [(2 + 1) / 2, (2 + 1) / 2, 0]
+    fused = [n / (n + 30) * (m + 1) / (m + 1.5) for n, m in zip(length, marks)]
+    k = math.exp(-0.5 / 0.16)
+    smooth = [(fused[0] + k * fused[1]) / (1 + k), (k * fused[0] + fused[1] + k * fused[2]) / (1 + 2 * k),
+              (k * fused[1] + fused[2]) / (1 + k)]
+    assert got[units[0].path] == pytest.approx((smooth[0] + smooth[1]) / 2)
+    assert got[units[2].path] == pytest.approx(smooth[2])
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>x</i>", "<ul><li>x", "<svg>x", "<div><h1>x", "<p>x", "<a '", "<!--",
+                                  "<table><tr><td>x", "<dl><dt>x<dd>y", "<i><div><b>x</i>"])
+def test_broken_pages_are_parsed_in_linear_time(part):
+    t0 = time.perf_counter()
+    html_extract.extract(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - t0 < 60
+
+
 def test_article_pages_of_the_test_data():
     for _, page in duckdb.sql(f"SELECT page_id, html FROM '{SF_ORACLE}/pages.parquet'").fetchall():
         body = page[page.index("<article") + 9:]
