@@ -46,9 +46,9 @@ L2 = 1.0
 #: the fit ends when no domain is off its target by more than this share of all tokens
 TOLERANCE = 1e-6
 #: weights on moving rates from 1, one after the other, as shares of all tokens; the
-#: last is too small to count (the optimum is then met to 1 % of its squared error, or to
-#: 1e-5 of all tokens).  Passes of each, and the scales tried at once
-RIDGES = tuple(10.0 ** -k for k in np.arange(-3, 14.5, 1.5))
+#: last is too small to count (the distance to the targets is then the least one to
+#: within 1e-5 of all tokens).  Passes of each, and the scales tried at once
+RIDGES = tuple(10.0 ** -k for k in (*np.arange(-3, 9, 1.5), *np.arange(9, 13.1, 0.5)))
 PASSES = 12
 SCALES = 0.25 ** np.arange(12)
 #: without targets, languages are tempered (their token shares to this power) with
@@ -194,8 +194,12 @@ def fit_rates(soft: DataFrame, domains: list[str],
             tokens, joints, squares = _sums(soft, m, line)
             values = squares + ridge / 2 * (line * line).sum(axis=1) + line @ goal
             k = int(values.argmin())
-            if values[k] >= value - 1e-13 * (square + abs(goal @ step)):
-                break                               # no more than rounding would be won
+            rounding = 1e-13 * (square + abs(goal @ step))
+            if values[k] >= value - rounding:       # too near to tell by the value: by its slope
+                slopes = np.abs(goal - tokens + ridge * line).max(axis=1)
+                k = int(np.where(values <= value + rounding, slopes, np.inf).argmin())
+                if not (values[k] <= value + rounding and slopes[k] <= 0.5 * np.abs(slope).max()):
+                    break
             step, expected, joint, square, value = line[k], tokens[k], joints[k], squares[k], values[k]
             if met(expected):
                 return step, expected, goal
