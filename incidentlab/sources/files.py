@@ -34,6 +34,34 @@ def read_incidents(spark: SparkSession, path: str, schema: T.StructType | None =
     return spread(reader.schema(schema).csv(path))
 
 
+def read_incidents_checked(spark: SparkSession, path: str,
+                           schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(incidents, rejected): the rows that fit the schema, and the others as
+    ``file``, ``line`` (the row's text) and ``reason``.
+
+    A row is rejected for its number of fields (``fields``) or for a value that
+    its column's type does not hold (``value``); an empty field is a null, not a fault.
+    Both outputs come from one lazy scan each: nothing is collected or cached, so a
+    lost executor costs a re-read.  No rows give two empty frames.
+    """
+    schema = schema or incident_schema()
+    corrupt, where = "_corrupt_line", "_corrupt_file"
+    rows = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+            .option("timestampNTZFormat", READ_TS_FORMAT).option("columnNameOfCorruptRecord", corrupt)
+            .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])).csv(path)
+            .withColumn(where, F.col("_metadata.file_path")))
+    # a scan judges the columns it is asked for alone: this always true condition asks for all
+    whole = F.pmod(F.hash(*[F.col(f"`{f.name}`") for f in schema.fields]), F.lit(2)) < 2
+    good = rows.where(whole & F.col(corrupt).isNull()).drop(corrupt, where)
+    # read again as text, a row that is still at fault has another number of fields
+    as_text = ", ".join([f"c{k} string" for k in range(len(schema))] + ["bad string"])
+    cells = F.from_csv(F.col(corrupt), as_text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    rejected = rows.where(whole & F.col(corrupt).isNotNull()).select(
+        F.col(where).alias("file"), F.col(corrupt).alias("line"),
+        F.when(cells["bad"].isNotNull(), "fields").otherwise("value").alias("reason"))
+    return spread(good), rejected
+
+
 def _read_json(spark: SparkSession, path: str, schema: T.StructType, layout: str) -> DataFrame:
     if layout not in ("array", "lines"):
         raise ValueError(f"layout must be 'array' or 'lines', not {layout!r}")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.schemas import PREDICTION_COLUMNS, incident_schema
-from incidentlab.sources.files import (read_daily_weather, read_incidents, read_polygons,
-                                       read_sun_times)
+from incidentlab.sources.files import (read_daily_weather, read_incidents, read_incidents_checked,
+                                       read_polygons, read_sun_times)
 from incidentlab.sources.responses import parse_sun_responses, parse_weather_responses
 from incidentlab.sources.sinks import write_daily_table, write_predictions
 from incidentlab.sources.spine import date_spine, sun_requests, weather_requests
@@ -35,6 +35,28 @@ def test_read_incidents_csv(spark, tmp_dir):
     assert bad[0]._bad is None and bad[1]._bad is not None
 
 
+def test_incident_rows_that_do_not_fit_are_a_second_output(spark, tmp_dir):
+    head = "Dates,Category,Descript,DayOfWeek,PdDistrict,Resolution,Address,X,Y\n"
+    folder = os.path.join(tmp_dir, "parts")
+    os.makedirs(folder)
+    _write(os.path.join(folder, "a.csv"), head + '2015-05-13 23:53:00,A,B,Monday,N,"R, S",OAK ST,-122.42,37.77\n'
+           "not a time,A,B,Monday,N,R,OAK ST,-122.42,37.77\n2015-05-13 23:53:00,A,B,Monday,N,R,OAK ST,,37.77\n")
+    _write(os.path.join(folder, "b.csv"), head + "2015-05-14 00:00:00,A,B\n"
+           "2015-05-14 00:00:00,A,B,Monday,N,R,OAK ST,1,2,3\n2015-05-14 00:00:00,A,B,Monday,N,R,OAK ST,abc,37.77\n")
+    good, rejected = read_incidents_checked(spark, folder)
+    assert good.columns == [f.name for f in incident_schema()]
+    assert {(r.Resolution, r.X) for r in good.collect()} == {("R", None), ("R, S", -122.42)}
+    got = sorted((os.path.basename(r.file), r.line, r.reason) for r in rejected.collect())
+    assert got == [("a.csv", "not a time,A,B,Monday,N,R,OAK ST,-122.42,37.77", "value"),
+                   ("b.csv", "2015-05-14 00:00:00,A,B", "fields"),
+                   ("b.csv", "2015-05-14 00:00:00,A,B,Monday,N,R,OAK ST,1,2,3", "fields"),
+                   ("b.csv", "2015-05-14 00:00:00,A,B,Monday,N,R,OAK ST,abc,37.77", "value")]
+    # whatever columns are asked for, the same rows are judged
+    assert good.select("Category").count() == 2 and rejected.select("reason").count() == 4
+    nothing = _write(os.path.join(tmp_dir, "none.csv"), head)
+    assert [f.count() for f in read_incidents_checked(spark, nothing)] == [0, 0]
+
+
 def test_schema_exclusion():
     assert [f.name for f in incident_schema()][0] == "Dates"
     assert "Id" in [f.name for f in incident_schema(exclude=())]
