@@ -7,11 +7,13 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import clean_text, map_rows
+from .linear import Rows
 
 #: remembered words per task; beyond, the memory starts anew
 MEMO_ENTRIES = 400_000
@@ -70,25 +72,18 @@ def vocabulary(texts: Iterable[Iterable[str]], min_texts: int = MIN_TEXTS) -> di
     return {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= min_texts), 1)}
 
 
-def telling(texts: list[Iterable[str]], y: list[int], vocab: dict[str, int]) -> dict[str, int]:
-    """The features whose presence goes with the 0/1 label more than chance
-    would have it among so many (chi-square with one degree of freedom above
-    twice the logarithm of their number), numbered anew."""
-    least = 2 * math.log(max(2, len(vocab)))
-    n, ones = len(y), sum(y)
-    total, positive = Counter(), Counter()
-    for words, label in zip(texts, y):
-        found = columns_of(words, vocab)
-        total.update(found)
-        if label:
-            positive.update(found)
-
-    def chi2(k: int) -> float:
-        a, m = positive[k], total[k]
-        b, c, d = m - a, ones - a, n - m - (ones - a)
-        under = m * (n - m) * ones * (n - ones)
-        return n * (a * d - b * c) ** 2 / under if under else 0.0
-    return {f: k for k, f in enumerate((f for f, k in vocab.items() if chi2(k) >= least), 1)}
+def telling(x: Rows, y: np.ndarray) -> np.ndarray:
+    """The columns in ``MIN_TEXTS`` rows whose presence goes with the 0/1 label more
+    than chance would have it among so many (chi-square with one degree of freedom
+    above twice the logarithm of their number)."""
+    total = x.t_dot(np.ones((len(x), 1)))[1:, 0]
+    a = x.t_dot(y[:, None])[1:, 0]
+    n, ones, seen = float(len(x)), y.sum(), total >= MIN_TEXTS
+    b, c = total - a, ones - a
+    d = n - total - c
+    under = total * (n - total) * ones * (n - ones)
+    chi2 = np.where(under > 0, n * (a * d - b * c) ** 2 / np.maximum(under, 1e-12), 0)
+    return 1 + np.flatnonzero(seen & (chi2 >= 2 * math.log(max(2, seen.sum()))))
 
 
 def columns_of(words: Iterable[str], vocab: dict[str, int]) -> list[int]:

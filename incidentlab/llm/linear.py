@@ -33,6 +33,18 @@ class Rows:
         out.starts = np.concatenate(([0], np.cumsum(out.sizes)[:-1])).astype(np.int64)
         return out
 
+    def narrow(self, columns: np.ndarray) -> Rows:
+        """The rows over the intercept and these columns, numbered from 1."""
+        place = np.full(self.n_cols, -1)
+        place[0] = 0
+        place[columns] = np.arange(1, len(columns) + 1)
+        cols = place[self.cols]
+        out = Rows.__new__(Rows)
+        out.n_cols, out.cols = len(columns) + 1, cols[cols >= 0]
+        out.sizes = np.add.reduceat((cols >= 0).astype(np.int64), self.starts)
+        out.starts = np.concatenate(([0], np.cumsum(out.sizes)[:-1])).astype(np.int64)
+        return out
+
 
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))

@@ -1,5 +1,6 @@
 """Toxicity, mixing and the pipeline."""
 
+import math
 import warnings
 
 import duckdb
@@ -12,12 +13,15 @@ import corpus_pipeline
 from compare import compare
 from incidentlab.llm import linear, mixing, queries, toxicity
 from incidentlab.llm.common import read
+from incidentlab.llm.labelled import word_features, words_of
 
 from conftest import SF_ORACLE, SF_SMALL
 from llm_fixtures import awkward, awkward_rows, frame, nothing
 from test_llm_dedup import brute_components, brute_fingerprint
 from test_llm_tokens import LIBRARY
 
+SF_LARGE = "/root/testdata/sf0.1"
+
 
 def test_regressions_reach_the_minimum():
     r = np.random.default_rng(1)
@@ -49,7 +53,90 @@ def test_toxic_documents_are_found_and_others_left(spark):
     odd = [(half[i], bool(t)) for i, t in labels if i % 2]
     assert np.mean([r.is_toxic for r, t in odd if t]) >= 0.7
     assert np.mean([r.is_toxic for r, t in odd if not t]) <= 0.02
-    assert all(0 <= p <= 1 for r in half.values() for p in (r.p_insult, r.p_demeaning, r.p_toxic))
+    assert all(0 <= p <= 1 for r in half.values() for p in (*(r[f"p_{c}"] for c in toxicity.CATEGORIES), r.p_toxic))
+
+
+def labelled_words(parity):
+    """(words, toxic, lang) of sf0.1's labelled documents of one parity, copies once."""
+    found = duckdb.sql(f"""SELECT d.text, l.toxic, d.lang FROM '{SF_LARGE}/labels.parquet' l
+        JOIN '{SF_LARGE}/documents.parquet' d USING (doc_id)
+        WHERE l.toxic IN (0, 1) AND d.doc_id % 2 = {parity} ORDER BY d.doc_id""").fetchall()
+    rows = {(tuple(sorted(words_of(t or ""))), y): lang for t, y, lang in found}
+    return [list(w) for w, _ in rows], np.array([float(y) for _, y in rows]), list(rows.values())
+
+
+@pytest.fixture(scope="module")
+def trained():
+    texts, y, langs = labelled_words(0)
+    return texts, y, langs, toxicity.train_on(texts, y, y.mean())
+
+
+def test_chain_probabilities_equal_the_formulas(trained):
+    """Plain loops over the same weights; every link ends at its minimum."""
+    texts, y, _, chain = trained
+    score = chain.scorer()
+    for words in texts[::40]:
+        present = {f for w in words for f in word_features(w)}
+        earlier = []
+        for weights in chain.weights:
+            z = weights[0] + sum(weights[k] for f, k in chain.vocab.items() if f in present)
+            z += sum(a * b for a, b in zip(weights[len(chain.vocab) + 1:], earlier))
+            earlier.append(1 / (1 + math.exp(-z)))
+        assert np.allclose(score(" ".join(words)), earlier, atol=1e-9)
+    # first link: no earlier category, so its gradient can be stated from the rows alone
+    x = toxicity._rows(texts, chain.vocab)
+    goal = (toxicity.kinds(x, y) == 0).astype(float)[:, None]
+    w = chain.weights[0][:, None]
+    pen = w.copy()
+    pen[0] = 0
+    assert np.abs(x.t_dot(linear.sigmoid(x.dot(w)) - goal) + toxicity.L2 * pen).max() < 0.05
+
+
+def test_kinds_cover_every_language(trained):
+    texts, y, langs, chain = trained
+    kind = toxicity.kinds(toxicity._rows(texts, chain.vocab), y)
+    assert not (kind[y == 0] >= 0).any()
+    for lang in ("en", "de", "fr", "es"):
+        own = [k for k, t, l in zip(kind, y, langs) if t and l == lang]
+        assert np.mean([k >= 0 for k in own]) >= 0.8
+
+
+def test_earlier_categories_change_answers_on_unseen_labels(trained):
+    chain = trained[-1]
+    texts, y, _ = labelled_words(1)
+    x = toxicity._rows(texts, chain.vocab)
+    p = toxicity.probabilities(x, chain.weights)[:, -1]
+    cut = [w.copy() for w in chain.weights]
+    cut[-1][x.n_cols:] = 0
+    q = toxicity.probabilities(x, cut)[:, -1]
+
+    def loss(v):
+        return -np.mean(np.log(np.clip(np.where(y > 0, v, 1 - v), 1e-12, 1)))
+    assert loss(p) < loss(q) and ((p >= chain.threshold) != (q >= chain.threshold)).any()
+    assert np.mean(p[y == 1] >= chain.threshold) >= 0.85 and np.mean(p[y == 0] >= chain.threshold) <= 0.01
+
+
+def test_chance_features_do_not_reach_the_threshold():
+    """Labels that no word tells: a chain that chose features before its folds would
+    think itself right on them."""
+    r = np.random.default_rng(5)
+    names = ["".join(r.choice(list("abcdefghij"), 4)) for _ in range(400)]
+    texts = [sorted(set(r.choice(names, 30))) for _ in range(300)]
+    y = (r.random(300) < 0.3).astype(float)
+    chain = toxicity.train_on(texts, y, 0.3)
+    fresh = [sorted(set(r.choice(names, 30))) for _ in range(300)]
+    p = toxicity.probabilities(toxicity._rows(fresh, chain.vocab), chain.weights)[:, -1]
+    assert np.mean(p >= chain.threshold) <= 0.3
+
+
+def test_kinds_of_few_and_equal_texts():
+    texts = [["awfulword", "plain"]] * 6 + [["plain", "quiet"]] * 12
+    y = np.array([1.0] * 6 + [0.0] * 12)
+    chain = toxicity.train_on(texts, y, 1 / 3)
+    kind = toxicity.kinds(toxicity._rows(texts, chain.vocab), y)
+    assert set(kind[:6]) == {0} and set(kind[6:]) == {-1}
+    score = chain.scorer()
+    assert score("awfulword")[-1] >= chain.threshold > score("plain quiet")[-1]
 
 
 LABELS = "doc_id long, quality int, toxic int, y string, chosen_id string"
