@@ -12,6 +12,8 @@ SHA-256 digest):
 A digest under which the groupings found one text only now names that text, so
 the answer goes back to the documents by digest, without their texts.  Digests
 that two different texts share (checked, never assumed) go back by full text.
+On the way back a digest that many rows share is split over tasks (adaptive skew
+join): the join meets a written table, and the rows are laid by (id, digest) after it.
 
 Edge cases: null text counts as empty; a null id never beats another id; of rows
 that repeat id and text one is kept; an empty table gives no rows; other columns
@@ -66,6 +68,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         by_text = (slim.withColumn("text_sha256", _sha256(F.col("t"))).join(shared, "d", "left_semi")
                    .join(found, ["d", "t"]))
         rows = by_digest.unionByName(by_text.select(*by_digest.columns))
+    # laid anew by (id, digest): the join then owes nobody its layout, and adaptive
+    # execution may split the digest of a large group of copies
+    rows = rows.repartition("id", "d")
     once = Window.partitionBy("text_sha256", "d", "id").orderBy(F.lit(1))
     is_keeper = F.col("id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(once) == 1)
     return rows.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
