@@ -8,9 +8,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from incidentlab.llm import exact_dedup, simhash
-from incidentlab.llm.components import components
+from incidentlab.llm.components import _large_star, _small_star, components
 
 from llm_fixtures import awkward, awkward_rows, frame, nothing, prose
+from test_skew import skew_conf  # noqa: F401
 
 COLUMNS = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
@@ -158,3 +159,30 @@ def test_components_match_union_find(spark, seed):
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in par}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_group_of_copies_goes_back_in_pieces(skew_conf):
+    """A third of the rows equal: the join back splits their digest."""
+    # equal digests compress well: judged by bytes the hot partition is hardly larger here
+    skew_conf.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1")
+    docs = skew_conf.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    got = exact_dedup.exact_duplicates(docs)
+    rows = got.collect()
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 30_000 and sum(r.kept for r in rows) == 20_001
+    assert {(r.keep_id, r.group_size) for r in rows if r.doc_id % 3 == 0} == {(29_997, 10_000)}
+
+
+def test_hub_with_many_neighbours_is_split(skew_conf):
+    star = skew_conf.range(1, 30_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    tail = skew_conf.range(100_000, 160_000, 2).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+    e = star.unionByName(tail)
+    for step in (_large_star(e), _small_star(e.select(F.col("v").alias("u"), F.col("u").alias("v")))):
+        rows = step.collect()
+        assert "skew=true" in step._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) >= 30_000
+    found = {r.node: r.component for r in components(e.select(F.col("u").alias("a"), F.col("v").alias("b"))).collect()}
+    assert len(found) == 90_001 and all(found[k] == 0 for k in range(30_001))
+    assert all(found[k] == k - k % 2 for k in range(100_000, 160_000))
