@@ -330,6 +330,16 @@ def oracle_sql() -> dict[str, str]:
     rules = {"Descript": f"{DESCRIPT} AS Descript", "Resolution": f"{RESOLUTION} AS Resolution"}
     training = ", ".join(rules.get(f.name, f.name) for f in incident_schema())
     q["training_csv"] = "WITH " + INCIDENTS + f" SELECT {training} FROM incidents"
+    q["csv_accepted"] = ("WITH " + INCIDENTS + " SELECT date_trunc('second', Dates) AS Dates, Category, DayOfWeek,"
+                         " PdDistrict, Address, CAST(Id % 180 AS DOUBLE) AS X, CAST(Id % 90 AS DOUBLE) AS Y"
+                         " FROM incidents WHERE Id % 7 <> 0 AND Id % 11 <> 0 AND Id % 13 <> 0")
+    q["csv_rejected"] = (
+        "WITH " + INCIDENTS + " SELECT concat_ws(',', CASE WHEN Id % 7 = 0 THEN 'not a time'"
+        " ELSE strftime(Dates, '%Y-%m-%d %H:%M:%S') END, Category, 'none', DayOfWeek, PdDistrict, 'none', Address,"
+        " CAST(Id % 180 AS VARCHAR), CASE WHEN Id % 7 = 0 THEN CAST(Id % 90 AS VARCHAR) WHEN Id % 11 <> 0"
+        " THEN CAST(Id % 90 AS VARCHAR) || ',more' END) AS line,"
+        " CASE WHEN Id % 7 = 0 THEN 'value' ELSE 'fields' END AS reason"
+        " FROM incidents WHERE Id % 7 = 0 OR Id % 11 = 0 OR Id % 13 = 0")
     q["sun_json_array"] = "WITH " + SUN + " SELECT date, sunrise, sunset FROM sun"
     q["weather_json_array"] = "WITH " + DAILY_WEATHER + " SELECT date, temperatureC, weather FROM daily"
     q["neighborhood_json_array"] = q["neighborhood"]

@@ -21,8 +21,8 @@ from ..schemas import (CATEGORY_FEATURES, FEATURES_COL, LABEL_COL, NUMERIC_FEATU
                        PREDICTION_COLUMNS, incident_schema)
 from ..session import scratch_path, write_table
 from ..sources import testdata as td
-from ..sources.files import (read_daily_weather, read_incidents, read_polygons,
-                              read_predictions, read_sun_times)
+from ..sources.files import (read_daily_weather, read_incidents, read_incidents_checked,
+                              read_polygons, read_predictions, read_sun_times)
 from ..sources.responses import parse_sun_responses, parse_weather_responses
 from ..sources.sinks import write_daily_table, write_predictions
 from .classify import feature_columns, run_classifier, split
@@ -163,6 +163,32 @@ def q_training_csv(spark: SparkSession, sf: str) -> DataFrame:
     return read_incidents(spark, path).select(*cols)
 
 
+def _faulty_csv(spark: SparkSession, sf: str) -> str:
+    """Incident rows as comma-separated files with a header, some with a fault:
+    ``Id`` divisible by 7 no time, by 11 (not 7) a field too few, by 13 (neither) one too many."""
+    k = F.col("Id")
+    when = F.when(k % 7 == 0, "not a time").otherwise(F.date_format("Dates", "yyyy-MM-dd HH:mm:ss"))
+    tail = (F.when((k % 7 == 0) | (k % 11 != 0) & (k % 13 != 0), F.concat_ws(",", k % 180, k % 90))
+            .when(k % 11 == 0, (k % 180).cast("string")).otherwise(F.concat_ws(",", k % 180, k % 90, F.lit("more"))))
+    line = F.concat_ws(",", when, "Category", F.lit("none"), "DayOfWeek", "PdDistrict", F.lit("none"), "Address", tail)
+    path = scratch_path(spark, "faulty-csv")
+    # one column under the whole header; no value has a tab, so none is quoted
+    (td.incidents(spark, sf).select(line.alias(",".join(f.name for f in incident_schema())))
+     .write.option("header", True).option("sep", "\t").csv(path))
+    return path
+
+
+def q_csv_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of files with faults that fit the schema."""
+    return read_incidents_checked(spark, _faulty_csv(spark, sf))[0].select(
+        "Dates", "Category", "DayOfWeek", "PdDistrict", "Address", "X", "Y")
+
+
+def q_csv_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The other rows as text, with the reason (file names differ from run to run)."""
+    return read_incidents_checked(spark, _faulty_csv(spark, sf))[1].select("line", "reason")
+
+
 def _write_array(df: DataFrame, path: str) -> None:
     """One file with one JSON array, as the per-day and polygon files come.  Only
     for such tables: the array is one value."""
@@ -395,6 +421,8 @@ def queries() -> dict[str, Query]:
         "rf_importance_sum": _importance_sum("rf"),
         "frequency_index": q_frequency_index,
         "csv_roundtrip": q_csv_roundtrip,
+        "csv_accepted": q_csv_accepted,
+        "csv_rejected": q_csv_rejected,
         "json_roundtrip": q_json_roundtrip,
         "sun_json_roundtrip": q_sun_json_roundtrip,
         "random_split": q_random_split,

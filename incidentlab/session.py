@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []        # scratch tables of this process, oldest first
+_written: list[str] = []        # scratch folders of this process, oldest first
 
 # Settings a job needs regardless of cluster size.  Everything else
 # (executor memory, shuffle partitions on a real cluster) is the caller's.
@@ -63,17 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for intermediate tables."""
+    """A fresh path under the shared checkpoint folder for intermediate tables,
+    owned by this process until ``release_tables``."""
     base = ensure_checkpoint_dir(spark)
     # checkpoint dirs come back as URIs (file:/..., hdfs://...); keep the scheme
-    return base.rstrip("/") + f"/incidentlab-scratch/{name}-{uuid.uuid4().hex}"
+    path = base.rstrip("/") + f"/incidentlab-scratch/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder (survives the
-    loss of executors, unlike a local checkpoint or cache)."""
+    loss of executors, unlike a local checkpoint or cache).  Its files live until
+    ``release_tables``."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    files = cut._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if files.isDefined():
+        _written.append(files.get())
+    return cut
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -83,20 +93,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
     The table lives until ``release_tables`` is called for it."""
     path = scratch_path(df.sparkSession, name)
-    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def tables_written() -> int:
-    """A mark for ``release_tables``: the tables written from here on."""
+    """A mark for ``release_tables``: what is written from here on."""
     return len(_written)
 
 
-def release_tables(spark: SparkSession, since: int = 0) -> int:
-    """Delete the scratch tables this process wrote after the mark ``since``;
-    returns how many.  Frames that read them must not be used afterwards."""
-    paths, _written[since:] = _written[since:], []
+def release_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the scratch tables, files and checkpoints this process wrote after the
+    mark ``since``, all but the newest ``keep``; returns how many.  Frames that read
+    them must not be used afterwards."""
+    until = max(since, len(_written) - keep)
+    paths = _written[since:until]
+    del _written[since:until]
     jvm = spark._jvm
     for path in paths:
         folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,6 +116,17 @@ def release_tables(spark: SparkSession, since: int = 0) -> int:
     return len(paths)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns all scratch data written inside and deletes it at the end, also after an
+    error: write or collect the result before leaving."""
+    since = tables_written()
+    try:
+        yield
+    finally:
+        release_tables(spark, since)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work at least ``min_partitions`` tasks (default:
     the cluster's default parallelism).

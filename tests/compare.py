@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 
 import duckdb
 import pandas as pd
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from incidentlab.session import scratch_scope
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -36,8 +41,8 @@ def frame_rows(pdf: pd.DataFrame) -> list[tuple]:
 
 
 def compare(spark, name: str, sf_dir: str, query, sql: str) -> tuple[bool, str]:
-    sdf = query(spark, sf_dir)
-    s = sdf.toPandas()
+    with scratch_scope(spark):
+        s = query(spark, sf_dir).toPandas()
     d = duck(sf_dir).execute(sql).df()
     if sorted(s.columns) != sorted(d.columns):
         return False, f"columns differ: {sorted(s.columns)} vs {sorted(d.columns)}"
@@ -51,11 +56,9 @@ def compare(spark, name: str, sf_dir: str, query, sql: str) -> tuple[bool, str]:
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, ".")
     import __spark_entry__ as E
     from incidentlab.session import get_session
     import json
-    import os
     conf = {"spark.sql.session.timeZone": os.environ.get("SESSION_TZ", "UTC")}
     conf.update(json.loads(os.environ.get("SPARK_CONF_JSON", "{}")))
     spark = get_session("local[8]", shuffle_partitions=8, conf=conf)

@@ -1,8 +1,14 @@
 """Plan regressions: the shapes the scale design relies on."""
 
 import re
+from pathlib import Path
+from urllib.parse import urlparse
+
+import pytest
 
 import __spark_entry__ as E
+from incidentlab.session import (ensure_checkpoint_dir, materialize, release_tables, scratch_scope,
+                                 tables_written, write_table)
 
 from conftest import SF_SMALL
 
@@ -76,3 +82,29 @@ def test_day_tables_of_large_readings_are_built_first_and_broadcast(spark):
         assert large.count() == 100_000 and "SortMergeJoin" in executed(large)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_scratch_scope_leaves_nothing_behind(spark):
+    """Tables, landed files and checkpoints of queries are gone once the result is read."""
+    root = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    before = set(root.glob("*")) | set(root.glob("incidentlab-scratch/*"))
+    for name in ("csv_rejected", "predictions_csv", "neighborhood_from_file"):
+        with scratch_scope(spark):
+            assert E.queries()[name](spark, SF_SMALL).count() > 0
+            cut = materialize(spark.range(5))
+            assert cut.count() == 5 and tables_written() > 0
+            assert (set(root.glob("rdd-*")) | set(root.glob("incidentlab-scratch/*"))) - before
+        left = (set(root.glob("*")) | set(root.glob("incidentlab-scratch/*"))) - before
+        assert {p.name for p in left} <= {"incidentlab-scratch"}
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        write_table(spark.range(3), "lost")
+        1 / 0
+    assert not [p for p in root.glob("incidentlab-scratch/lost-*")]
+
+
+def test_release_keeps_the_newest(spark):
+    since = tables_written()
+    write_table(spark.range(3), "old")
+    new = write_table(spark.range(4), "new")
+    assert release_tables(spark, since, keep=1) == 1 and new.count() == 4
+    assert release_tables(spark, since) == 1 and release_tables(spark, since) == 0
