@@ -14,6 +14,7 @@ from compare import compare
 from incidentlab.llm import linear, mixing, queries, toxicity
 from incidentlab.llm.common import read
 from incidentlab.llm.labelled import word_features, words_of
+from incidentlab.session import release_tables, tables_written
 
 from conftest import SF_ORACLE, SF_SMALL
 from llm_fixtures import awkward, awkward_rows, frame, nothing
@@ -263,8 +264,11 @@ def test_pipeline_against_brute_force(spark):
     copies = {r.doc_id: r.copies for r in mixed.collect()}
     want = sorted((r[0], len(LIBRARY.encode(r[1] or "", add_bos=True, add_eos=True)))
                   for r in rows for _ in range(copies[r[0]]))
+    since = tables_written()
     got = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want
+    # of all that the stages wrote, the table that the last one reads is left
+    assert tables_written() == since + 1 and release_tables(spark, since) == 1
 
 
 def frame_of(spark, rows, schema):
