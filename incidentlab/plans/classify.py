@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import model as M
 from ..operators.split import combine, key_bucket, split_by_key, split_random
 from ..schemas import CATEGORY_FEATURES, FEATURES_COL, NUMERIC_FEATURES
-from ..session import release_tables, tables_written, write_table
+from ..session import bounded_tasks, release_tables, tables_written, write_table
 
 FOLD_COL = "__fold"
 
@@ -74,8 +74,9 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
     ``train``.  ``grid`` may also be a function of the pipeline's classifier.
     ``folds`` below 2 leaves cross validation out.
 
-    Rows are indexed and assembled once: the folds are fitted and evaluated on a
-    written table of vector, label and fold, with ``parallelism`` of them at a time.
+    Rows are indexed and assembled once: every fit and evaluation reads a
+    written table of vector, label and fold, the folds with ``parallelism`` of them at a time.
+    A training task gets a bounded number of rows (``session.bounded_tasks``).
     """
     levels = combine(train, test) if test is not None else train
     feat_idx, label_idx = M.fit_indexers(levels, handle_invalid=handle_invalid)
@@ -92,8 +93,9 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
         train = train.withColumn(FOLD_COL, (key_bucket(F.concat(F.lit("fold:"), F.col(key)
                                                                  .cast("string")), folds)).cast("int"))
     vectors = M.score(ready, train).select(FEATURES_COL, M.LABEL_INDEXED, *([fold_col] if fold_col else []))
+    vectors = bounded_tasks(write_table(vectors, "vectors"))
     if folded:
-        model = M.train(write_table(vectors, "vectors"), clf, folds=folds, seed=seed, grid=grid,
+        model = M.train(vectors, clf, folds=folds, seed=seed, grid=grid,
                         parallelism=parallelism, fold_col=fold_col)
     else:
         model = clf.fit(vectors, grid[0])

@@ -39,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident rows in the layout of the incident CSV files (``Id`` kept)."""
-    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"),
+                by_rows=True)
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = ev.join(nation, (F.col("user_id") % 25) == F.col("n_nationkey"))
     eid, uid, name = F.col("event_id"), F.col("user_id"), F.col("n_name")
@@ -120,7 +121,7 @@ def sun_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(date, rid, body)``: one landed text response per event, two header
     lines then one comma-separated reading."""
-    ev = spread(table(spark, sf_dir, "events"))
+    ev = spread(table(spark, sf_dir, "events"), by_rows=True)
     v = F.col("value")
     temp = F.when(v < WEATHER_NO_TEMP_BELOW, F.lit("-")).otherwise(F.format_string("%.2f", v))
     fields = [F.date_format("ts", "HH:mm"), temp, F.lit("7.0"), F.lit("80"), F.lit("1015.0"),
