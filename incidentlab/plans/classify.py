@@ -76,7 +76,9 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
 
     Rows are indexed and assembled once: every fit and evaluation reads a
     written table of vector, label and fold, the folds with ``parallelism`` of them at a time.
-    A training task gets a bounded number of rows (``session.bounded_tasks``).
+    A training task gets a bounded number of rows (``session.bounded_tasks``); rows
+    dealt out for that are kept while the models are fitted, not dealt again for every
+    fold, its emptiness checks and the refit.
     """
     levels = combine(train, test) if test is not None else train
     feat_idx, label_idx = M.fit_indexers(levels, handle_invalid=handle_invalid)
@@ -93,12 +95,19 @@ def fit_models(train: DataFrame, test: DataFrame | None, kind: str, folds: int =
         train = train.withColumn(FOLD_COL, (key_bucket(F.concat(F.lit("fold:"), F.col(key)
                                                                  .cast("string")), folds)).cast("int"))
     vectors = M.score(ready, train).select(FEATURES_COL, M.LABEL_INDEXED, *([fold_col] if fold_col else []))
-    vectors = bounded_tasks(write_table(vectors, "vectors"))
-    if folded:
-        model = M.train(vectors, clf, folds=folds, seed=seed, grid=grid,
-                        parallelism=parallelism, fold_col=fold_col)
-    else:
-        model = clf.fit(vectors, grid[0])
+    written = write_table(vectors, "vectors")
+    vectors = bounded_tasks(written)
+    if vectors is not written:
+        vectors = vectors.persist()
+    try:
+        if folded:
+            model = M.train(vectors, clf, folds=folds, seed=seed, grid=grid,
+                            parallelism=parallelism, fold_col=fold_col)
+        else:
+            model = clf.fit(vectors, grid[0])
+    finally:
+        if vectors is not written:
+            vectors.unpersist()
     return M.with_stages(ready, model, [inverse])
 
 

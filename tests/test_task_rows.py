@@ -84,3 +84,28 @@ def test_training_tasks_get_a_bounded_number_of_rows(spark, monkeypatch, folds):
     classify.fit_models(rows, None, "dt", folds=folds, maxDepth=2)
     assert [sum(each) for each in seen][-1] == 2000
     assert max(max(each) for each in seen) <= 101
+
+
+@pytest.mark.parametrize("kind, folds", [("rf", 3), ("rf", 0), ("nb", 2)])
+def test_dealt_training_rows_are_kept_for_all_fits_and_let_go(spark, monkeypatch, kind, folds):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    k = F.col("id")
+    rows = spark.range(0, 2000, 1, 2).select(
+        k.alias("Id"), *[(k % (3 + j)).cast("string").alias(c) for j, c in enumerate(M.CATEGORY_FEATURES)],
+        *[(k % 17).cast("double").alias(c) for c in M.NUMERIC_FEATURES], (k % 4).cast("string").alias(M.LABEL_COL))
+    before = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    est = {"rf": M.RandomForestClassifier, "nb": M.NaiveBayes}[kind]
+    plans = []
+    fit = est.fit
+
+    def seen(self, df, params=None):
+        plans.append(df._jdf.queryExecution().withCachedData().toString())
+        return fit(self, df, params)
+    monkeypatch.setattr(est, "fit", seen)
+    some = {"maxDepth": 1, "numTrees": 2} if kind == "rf" else {}
+    classify.fit_models(rows, None, kind, folds=folds, key="Id", **some)
+    assert len(plans) == folds + 1 if folds else len(plans) == 1
+    # the refit reads kept rows; a fold's own kept rows are taken from them, not dealt again
+    for n, plan in enumerate(plans):
+        assert plan.count("InMemoryRelation") >= (2 if n < folds else 1)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) == before
